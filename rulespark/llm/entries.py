@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding
+from . import decontaminate, langid, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_benchmark_decontamination": decontaminate.query,
         "op5_packing": packing.query,
+        "op6_toxicity": toxicity.query,
+        "op7_language_id": langid.query,
         "op8_sharding": sharding.query,
     }
 
