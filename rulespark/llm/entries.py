@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, sharding, toxicity
+from . import decontaminate, langid, nearest, packing, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.query,
         "op7_language_id": langid.query,
         "op8_sharding": sharding.query,
+        "op10_nearest_neighbours": nearest.query,
     }
 
 
