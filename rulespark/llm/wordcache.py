@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bytewords import NOT_SPLIT, strings, word_bounds, word_hashes
+from .bytewords import LOWER, NOT_SPLIT, strings, table, word_bounds, word_hashes
 
 
 class WordRows:
@@ -48,8 +48,21 @@ class WordRows:
         return row[back] if len(keys) else np.zeros(0, np.int64)
 
 
+ASCII_LETTER = np.zeros(256, dtype=bool)
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
+#: Marks between which and a letter the tokenizer always parts.
+MARK = ~table(outside=b'.,;:!?"()*$%&#')
+#: Bytes of words that must be tokenized as they stand: non-ASCII ones compose in NFC, and bars are in special tokens.
+AS_IS = ~table(outside=b"|")
+AS_IS[0x80:] = True
+
+
 class WordIds(WordRows):
-    """Subword ids by a public tokenizer that never joins across white space."""
+    """Subword ids by the public tokenizer word_bpe_49k.
+
+    It drops white space, parts letters from marks, and folds case, so texts are
+    cut there and ASCII words are folded before they are looked up.
+    """
 
     def __init__(self, path: str, most: int = 1 << 19):
         import os
@@ -83,9 +96,31 @@ class WordIds(WordRows):
             self.start[at] = self.used + np.cumsum(size) - size
             self.used += total
 
+    @staticmethod
+    def cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Folded bytes and the bounds of the words."""
+        starts, ends, first = word_bounds(buf, offs, NOT_SPLIT)
+        if not len(starts):
+            return buf, starts, ends, first
+        as_is = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(AS_IS[buf], out=as_is[1:])
+        kept = np.flatnonzero(as_is[ends] > as_is[starts])
+        out = LOWER[buf]
+        if len(kept):
+            inside = np.zeros(len(buf) + 1, np.int8)
+            inside[starts[kept]] += 1
+            inside[ends[kept]] -= 1
+            inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            out[inside] = buf[inside]
+        letter, mark = ASCII_LETTER[buf], MARK[buf] & NOT_SPLIT[buf]
+        parts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        parts = parts[~np.isin(parts, offs)] if len(offs) < 3 else parts[offs[np.searchsorted(offs, parts)] != parts]
+        at = np.searchsorted(parts, offs)
+        return out, np.sort(np.concatenate([starts, parts])), np.sort(np.concatenate([ends, parts])), first + at
+
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): text i has the ids first[i] to first[i + 1]."""
-        starts, ends, first = word_bounds(buf, offs, NOT_SPLIT)
+        buf, starts, ends, first = self.cut(buf, offs)
         row = self.rows(buf, starts, ends)
         size = self.length[row]
         upto = np.concatenate([[0], np.cumsum(size)])
