@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, nearest, packing, sharding, toxicity
+from . import decontaminate, langid, nearest, ngram_join, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard_join": ngram_join.query,
         "op3_benchmark_decontamination": decontaminate.query,
         "op5_packing": packing.query,
         "op6_toxicity": toxicity.query,
