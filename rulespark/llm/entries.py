@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, nearest, ngram_join, packing, sharding, toxicity
+from . import decontaminate, langid, nearest, ngram_join, packing, preference, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,12 @@ def queries() -> dict:
         "op6_toxicity": toxicity.query,
         "op7_language_id": langid.query,
         "op8_sharding": sharding.query,
+        "op9_chat_formatting": preference.query,
         "op10_nearest_neighbours": nearest.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_formatting": preference.SQL,
+    }
