@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, nearest, ngram_join, packing, preference, sharding, toxicity
+from . import decontaminate, langid, licenses, nearest, ngram_join, packing, preference, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_benchmark_decontamination": decontaminate.query,
         "op5_packing": packing.query,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.sql(),
         "op9_chat_formatting": preference.SQL,
     }
