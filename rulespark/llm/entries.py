@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, nearest, ngram_join, packing, preference, sharding, toxicity
+from . import decontaminate, langid, licenses, lmscore, nearest, ngram_join, packing, preference, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": licenses.query,
         "op2_ngram_jaccard_join": ngram_join.query,
         "op3_benchmark_decontamination": decontaminate.query,
+        "op4_lm_scoring": lmscore.query,
         "op5_packing": packing.query,
         "op6_toxicity": toxicity.query,
         "op7_language_id": langid.query,
