@@ -131,11 +131,14 @@ class SubwordBags:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 3000, most_bytes: int = 20000) -> SubwordBags:
     """Learns from labels joined with their texts; a third of the sample is toxic if there are as many."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    rows = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)).select(id_col, text_col).join(known, id_col)
-    rows = rows.select("_y", F.col(text_col).alias("text"), F.xxhash64(F.lit("train"), id_col, text_col).alias("h")).persist()
-    got = rows.where("_y = 1").orderBy("h").limit(most_docs // 3).collect() + rows.where("_y = 0").orderBy("h").limit(most_docs - most_docs // 3).collect()
-    rows.unpersist()
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y")).withColumn("_h", F.xxhash64(F.lit("train"), id_col))
+    # Twice as many ids as texts wanted, since some have no text or a long one; only their texts are read out, nothing is shuffled.
+    most = {1: most_docs // 3, 0: most_docs - most_docs // 3}
+    some = known.where("_y = 1").orderBy("_h").limit(2 * most[1]).unionByName(known.where("_y = 0").orderBy("_h").limit(2 * most[0])).collect()
+    chosen = docs.sparkSession.createDataFrame([(r[id_col], int(r["_y"]), r["_h"]) for r in some], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _y int, _h long")
+    rows = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    ranked = sorted(rows.select("_y", "_h", "text").collect(), key=lambda r: (r["_h"], r.text))
+    got = [r for y in (1, 0) for r in [r for r in ranked if r["_y"] == y][: most[y]]]
     y = np.array([r["_y"] for r in got], float)
     model = SubwordBags()
     if len(y) and 0 < y.mean() < 1:
