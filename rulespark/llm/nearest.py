@@ -9,8 +9,9 @@ is left is scored in double precision on the original vectors.
 
 The centres, the number of probed lists (the smallest with `target` recall) and
 each query's first threshold come from a sample of at most `sample` vectors,
-chosen by a hash of the id; every vector is indexed.  (The threshold is the
-sample's 2k-th best, so that k are left even where a test abandons a good one.)  Lists are split into
+chosen by a hash of the id; every vector is indexed.  (The threshold is a
+little below the sample's k-th best, so that k are left even where a test
+abandons a good one; the centres are fitted on a part of the sample.)  Lists are split into
 blocks of about `block` vectors and queries into chunks of about `chunk`, by a
 hash of the id, so that neither a hot list nor many queries meet in one task.
 
@@ -30,6 +31,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranks below the sample's k-th best at which a query's first threshold lies; vectors that the centres are fitted on.
+SPARE, FITTED = 12, 4096
+
+
 def rotation(dim: int, seed: int = 3) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -120,7 +125,7 @@ def scan(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, cid: np.ndarray, c:
     return have
 
 
-def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 4096, target: float = 0.98, columns: int = 16, z: float = 2.6, block: int = 4096, chunk: int = 8192) -> DataFrame:
+def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 16384, target: float = 0.98, columns: int = 16, z: float = 2.6, block: int = 4096, chunk: int = 8192) -> DataFrame:
     """query_id, rank, id_col, score."""
     spark = df.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -134,8 +139,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     got = x.select("i", "v").orderBy(F.xxhash64(F.lit("sample"), "i"), "i").limit(sample).collect()
     known, ids = np.array([r.v for r in got]), np.array([r.i for r in got])
     lists = max(1, min(1024, int(math.sqrt(n) / 4), len(known) // 8 or 1))
-    c = centres(known, lists)
-    n_probe = probes(known, c, k, target) if len(known) > 1 else 1
+    c = centres(known[:FITTED], lists)
+    n_probe = probes(known[:FITTED], c, k, target) if len(known) > 1 else 1
     turn = rotation(dim)
     held = spark.sparkContext.broadcast((known, ids, c, turn))
 
@@ -152,8 +157,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
                 some = at[a : a + 512]
                 score = v[some] @ known.T
                 score[own[some][:, None] == ids[None, :]] = -np.inf
-                if score.shape[1] >= 2 * k:
-                    floor[some] = np.partition(score, -2 * k, axis=1)[:, -2 * k]
+                if score.shape[1] >= k + SPARE:
+                    floor[some] = np.partition(score, -k - SPARE, axis=1)[:, -k - SPARE]
                 for r in some.tolist():
                     probed[r] = order[r, :n_probe].tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(order[:, 0].astype(np.int32)), pa.array(probed, pa.list_(pa.int32())), pa.array(floor)], names=["i", "v", "q", "list", "probed", "floor"])
