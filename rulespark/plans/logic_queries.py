@@ -122,12 +122,12 @@ def scenario_replay(spark, sf_dir):
     return x.groupBy("old_status", "new_status", "old_decision", "new_decision", "differs").agg(F.count("*").alias("n"))
 
 
-@query("feel_arithmetic", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / nullif(l_tax, 0), 4) AS per_tax,
-  round(least(l_quantity * 100, l_extendedprice), 4) AS capped, CASE WHEN l_quantity - 25 <> 0 THEN round(l_extendedprice - (l_quantity - 25) * floor(l_extendedprice / (l_quantity - 25)), 4) END AS rest FROM lineitem""")
+@query("feel_arithmetic", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / nullif(l_tax, 0), 6) AS per_tax,
+  round(least(l_quantity * 100, l_extendedprice), 6) AS capped, CASE WHEN l_quantity - 25 <> 0 THEN round(l_extendedprice - (l_quantity - 25) * floor(l_extendedprice / (l_quantity - 25)), 6) END AS rest FROM lineitem""")
 def feel_arithmetic(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     names = set(li.columns)
-    ex = lambda t: F.round(L.arithmetic(t, names), 4)
+    ex = lambda t: F.round(L.arithmetic(t, names), 6)
     return li.select("l_orderkey", "l_linenumber", ex("l_extendedprice multiplied by (1 minus l_discount) divided by l_tax").alias("per_tax"), ex("lesser of(l_quantity * 100, l_extendedprice)").alias("capped"), ex("l_extendedprice % (l_quantity - 25)").alias("rest"))
 
 
