@@ -11,7 +11,7 @@ documents link when 100 * intersection >= percent * union.
 3. Groups are listed under each shingle of their prefix.  Size, position and a
    parity bitmap bound the intersection of a pair; only pairs within the bounds
    are candidates.
-4. First each group is paired with two neighbours in each list only, and the
+4. First each group is paired with one other in each list only, and the
    sets of their members are compared; then every pair in a list that does not
    already hang together is.  So a group of thousands of near copies is never
    expanded into all its pairs, and no link between components is missed.
@@ -102,10 +102,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, a 256-bit parity bitmap."""
+    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, a parity bitmap of 256 bits and one of n bits or more."""
     sort = np.argsort(hot, kind="stable")
     held = docs.sparkSession.sparkContext.broadcast((hot[sort], sort.astype(U)))
-    names = ["doc_id", "n", "s1", "s2", "ph", "p", "b0", "b1", "b2", "b3"]
+    names = ["doc_id", "n", "s1", "s2", "ph", "p", "b0", "b1", "b2", "b3", "w"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = held.value
@@ -113,14 +113,17 @@ def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
             sets = shingles(buf, offs, n)
             size = np.array([len(x) for x in sets], dtype=np.int64)
             s, b = np.zeros((3, len(sets)), U), np.zeros((len(sets), 4), U)
-            prefixes = []
+            prefixes, wide = [], []
             for d, x in enumerate(sets):
                 if not len(x):
                     prefixes.append(np.zeros(0, np.int64))
+                    wide.append(b"")
                     continue
                 m = mix(x)
                 s[0, d], s[1, d] = m.sum(), mix(m + U(1)).sum()
                 b[d] = np.packbits(np.bincount((m & U(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(U)
+                bits = max(256, 1 << (len(x) - 1).bit_length())
+                wide.append(np.packbits(np.bincount((m & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes())
                 take = len(x) - int(needed(len(x), percent)) + 1
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
@@ -133,10 +136,10 @@ def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
                 prefixes.append(p.astype(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            cols = [batch.column(0).cast(pa.int64()), pa.array(size), *(pa.array(signed(x)) for x in s), lists, *(pa.array(signed(np.ascontiguousarray(b[:, k]))) for k in range(4))]
+            cols = [batch.column(0).cast(pa.int64()), pa.array(size), *(pa.array(signed(x)) for x in s), lists, *(pa.array(signed(np.ascontiguousarray(b[:, k]))) for k in range(4)), pa.array(wide, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ph long, p array<long>, b0 long, b1 long, b2 long, b3 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ph long, p array<long>, b0 long, b1 long, b2 long, b3 long, w binary")
 
 
 def possible(x: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -180,7 +183,10 @@ def runs(rows: Iterator[pa.RecordBatch], names: tuple) -> Iterator[tuple[dict, n
 
 
 def neighbours(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Lists of two and more (as they are), and candidates: each entry with the one before and with the one halfway down."""
+    """Lists of two and more (as they are), and candidates: each entry with the list's smallest id or, where the bounds forbid it, with the entry before.
+
+    Lists of one family mostly have the same smallest id, so few different pairs come of many lists.
+    """
     for x, at in runs(rows, LISTED):
         size = np.repeat(np.diff(at), np.diff(at))
         start = np.repeat(at[:-1], np.diff(at))
@@ -188,11 +194,13 @@ def neighbours(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         if not len(keep):
             continue
         place = np.arange(len(size)) - start
-        later = np.flatnonzero(place > 0)
-        half = start[later] + (place[later] - 1) // 2
-        i, j = np.concatenate([later - 1, half[half != later - 1]]), np.concatenate([later, later[half != later - 1]])
-        ok = possible(x, i, j, percent)
-        i, j = i[ok], j[ok]
+        low = np.lexsort((x["gid"], start))[start]
+        all_ = np.arange(len(size))
+        mine = np.flatnonzero(low != all_)
+        ok = possible(x, low[mine], mine, percent)
+        later = np.setdiff1d(mine[~ok], all_[place == 0])
+        near = possible(x, later - 1, later, percent)
+        i, j = np.concatenate([low[mine[ok]], later[near] - 1]), np.concatenate([mine[ok], later[near]])
         pairs = np.unique(np.stack([np.minimum(x["gid"][i], x["gid"][j]), np.maximum(x["gid"][i], x["gid"][j])]), axis=1)
         cols = {k: np.concatenate([x[k][keep], np.zeros(pairs.shape[1], np.int64)]) for k in LISTED}
         cols["gid"][len(keep) :] = pairs[0]
@@ -223,9 +231,31 @@ def across(rows: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> I
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; sets are sent for documents in pairs only."""
+def plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps of n bits do not rule a link out: sets differ in as many shingles as bits at least."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            ok = []
+            for na, nb, x, y in zip(*(r.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) != len(y):  # the longer one folds onto the shorter one
+                    if len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    else:
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                least = -(-percent * (na + nb) // (100 + percent))
+                ok.append(int(np.bitwise_count(x ^ y).sum()) <= na + nb - 2 * least)
+            yield r.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    x = pairs.join(wide.toDF("b", "nb", "wb"), "b").join(wide.toDF("a", "na", "wa"), "a")
+    return x.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, wide: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; sets are sent only for documents in pairs that bitmaps leave open."""
     spark = docs.sparkSession
+    pairs = written(plausible(pairs, wide, percent))
     mask = (1 << BLOOM_BITS) - 1
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bit = F.xxhash64("id").bitwiseAND(F.lit(mask))
@@ -259,9 +289,11 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 ok.append(100 * common >= percent * (len(s) + len(t) - common))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.toDF("a", "sa"), "a")
-    out = written(left.join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct())
+    # a, the smaller id, is in many pairs: the sets of its partners go to it, so that its own is not sent with every pair.
+    right = pairs.join(sets.toDF("b", "sb"), "b")
+    out = written(right.join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct())
     dropped(sets)
+    dropped(pairs)
     return out
 
 
@@ -271,18 +303,25 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     sig = written(signatures(docs, n, percent, frequent(docs, n)))
     real = sig.where("doc_id is not null and n > 0")
     shape = ["ph", "n", "p", "b0", "b1", "b2", "b3"]
-    classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in shape)))
+    classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*shape, "w"))))
+    slim, fat = written(sig.select("doc_id", "n", "s1", "s2")), sig
+    dropped(fat)
+    sig = slim
     groups = classes.groupBy("ph", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("gm"), *(F.first(c).alias(c) for c in ("p", "b0", "b1", "b2", "b3")))
     listed = groups.select("gid", "n", "gm", "b0", "b1", "b2", "b3", F.posexplode("p").alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
     listed = listed.select(*LISTED).repartition("tok").sortWithinPartitions("tok", "n", "gid")
     kept = written(listed.mapInArrow(lambda rows: neighbours(rows, percent), ", ".join(f"{c} long" for c in (*LISTED, "other")) + ", pair boolean"))
     lists = kept.where("not pair").select(*LISTED)
     # Members of the groups that have several: equal sizes differ in two shingles at least, so small sets never link there.
+    slim, fat = written(classes.select("s1", "s2", "ph", "n", "cid", "m")), classes
+    wide = written(fat.select("cid", "n", "w"))
+    dropped(fat)
+    classes = slim
     several = classes.groupBy("ph", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("gm")).where("gm > 1")
     members = written(classes.select("ph", "n", "cid").join(several, ["ph", "n"]).select("gid", "cid", "n"))
     within = F.expr(f"100 * (n - 1) >= {percent} * (n + 1)")
     first = kept.where("pair").select(F.col("gid").alias("a"), F.col("other").alias("b")).unionByName(members.where(within).where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
-    links = verified(docs, first, n, percent)
+    links = verified(docs, first, wide, n, percent)
     label = components(links, "a", "b")
     # What is left: pairs of groups, or members of one, in different components.
     placed = members.join(label, members["cid"] == label["node"], "left").select("gid", "cid", "n", F.coalesce("label", "cid").alias("comp"))
@@ -297,9 +336,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     outside = second.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_cid", "a").alias("a"), F.coalesce("b_cid", "b").alias("b"))
     more = written(inside.unionByName(outside).distinct())
     if more.limit(1).count():
-        links = links.unionByName(verified(docs, more, n, percent))
+        links = links.unionByName(verified(docs, more, wide, n, percent))
         label = components(links, "a", "b")
-    for t in (kept, members, second, more):
+    for t in (kept, members, second, more, wide):
         dropped(t)
     # A class of very many copies is joined by salted rows; there are 1,000 of them at most.
     total = sig.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what has just been written
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
