@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: The marks around a turn.
 OPEN, CLOSE, END = "<|", "|>\n", "\n<|end|>\n"
 LEARN = "assistant"
@@ -72,22 +74,22 @@ def format_pairs(pairs: DataFrame, convs: DataFrame) -> DataFrame:
     )
 
 
-def same_opening(convs: DataFrame, most: int = 512) -> DataFrame:
-    """Pairs of conversations that open with the same turn: neighbours in order of id, each in one pair.
+def same_opening(convs: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """Pairs of conversations that open with the same turn: neighbours in order of id, each in one pair; the last of an odd number has no partner (null).
 
-    An opening that more than `most` conversations share is dealt by a hash of
-    the id into parts of about that many, so no task holds all of it; the odd one
-    out of a part has no partner (null).
+    Ids are ranked within range parts of about `most` rows, and what the parts
+    before hold of an opening is added, so no task holds all of a hot opening.
     """
     heads = convs.select("conv_id", F.xxhash64(F.coalesce(F.col("turns")[0]["role"], F.lit("")), F.coalesce(F.col("turns")[0]["text"], F.lit(""))).alias("h"))
-    many = heads.groupBy("h").count().where(F.col("count") > most).select("h", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    # At most rows / most openings: few, and joined by broadcast only if Spark finds them small.
-    parts = F.pmod(F.xxhash64(F.lit("part"), "conv_id"), F.coalesce("parts", F.lit(1)))
-    dealt = heads.join(F.broadcast(many.orderBy(F.desc("parts")).limit(4096)), "h", "left").withColumn("part", parts)
+    parts = max(1, -(-convs.count() // most))
+    ranged = written(heads.repartitionByRange(parts, "h", "conv_id").withColumn("part", F.spark_partition_id()))
+    earlier = F.sum("count").over(W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    # Only the first opening of a part can go on from parts before: at most a row a part.
+    before = ranged.groupBy("h", "part").count().withColumn("before", earlier).where("before > 0").select("h", "part", "before")
     at = F.row_number().over(W.partitionBy("h", "part").orderBy("conv_id")) - 1
-    rows = dealt.withColumn("at", at)
-    nxt = F.lead("conv_id").over(W.partitionBy("h", "part").orderBy("conv_id"))
-    return rows.withColumn("rejected_id", nxt).where("at % 2 = 0").select(F.col("conv_id").alias("chosen_id"), "rejected_id")
+    rows = ranged.withColumn("at", at).join(F.broadcast(before), ["h", "part"], "left").withColumn("at", F.col("at") + F.coalesce("before", F.lit(0)))
+    side = lambda k: F.max(F.when(F.col("at") % 2 == k, F.col("conv_id")))
+    return rows.groupBy("h", F.floor(F.col("at") / 2).alias("k")).agg(side(0).alias("chosen_id"), side(1).alias("rejected_id")).select("chosen_id", "rejected_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

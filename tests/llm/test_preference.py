@@ -57,3 +57,16 @@ def test_hot_opening_is_split(spark):
     ids = [i for r in rows for i in (r.chosen_id, r.rejected_id) if i is not None]
     assert sorted(ids) == [*range(2000), 5000]
     assert sum(r.rejected_id is None for r in rows) <= 22
+
+
+def test_partners_are_neighbours_at_any_size(spark):
+    """A hot opening over many parts, others within and across parts."""
+    opening = {i: "same" if i % 3 else f"t{i % 40}" for i in range(2001)}
+    convs = p.conversations(spark.createDataFrame([(i, 0, "user", t, "") for i, t in opening.items()], SCHEMA).repartition(5))
+    by = {}
+    for i, t in opening.items():
+        by.setdefault(t, []).append(i)
+    want = {(ids[k], ids[k + 1] if k + 1 < len(ids) else None) for ids in by.values() for k in range(0, len(ids), 2)}
+    for most in (100, 512, 1 << 16):
+        got = [(r.chosen_id, r.rejected_id) for r in p.same_opening(convs, most).collect()]
+        assert len(got) == len(want) and set(got) == want
