@@ -14,10 +14,10 @@ LEVELS = "[1, 2, 3, 2]"
 
 
 def headed(spark, sf_dir):
-    x = T.lines(table(spark, sf_dir, "documents").where(F.octet_length("text") < 4000), "doc_id", "text")
+    x = T.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     level = F.element_at(F.array(*[F.lit(k) for k in (1, 2, 3, 2)]), (F.floor(F.col("line") / 5) % 4 + 1).cast("int"))
     mark = F.concat(F.repeat(F.lit("#"), level), F.lit(" H"), F.col("line").cast("string"))
-    return x.withColumn("said", F.when(F.col("line") % 5 == 0, mark).otherwise(F.lit("text")))
+    return x.withColumn("said", F.when(F.col("line") % 5 == 0, mark).otherwise(F.col("said")))
 
 
 HEADED = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE strlen(text) < 4000),
@@ -157,8 +157,8 @@ QUOTES = """WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'not i
 
 @query("citation_exact_spans", QUOTES + " SELECT doc_id, CASE WHEN strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END::INTEGER AS start_at, CASE WHEN strpos(text, quote) > 0 THEN strpos(text, quote) - 1 + length(quote) END::INTEGER AS end_at FROM q")
 def citation_exact_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 200)
-    q = F.when(F.col("doc_id") % 3 == 0, "not in any text at all").otherwise(F.substr("text", F.floor(F.length("text") / 2).cast("int"), F.lit(60)))
+    d = table(spark, sf_dir, "documents")
+    q = F.when(F.col("doc_id") % 3 == 0, "not in any text at all").otherwise(F.substr("text", F.greatest(F.floor(F.length("text") / 2).cast("int"), F.lit(1)), F.lit(60)))
     x = d.withColumn("quote", q).withColumn("s", T.exact_span(F.col("text"), F.col("quote")))
     return x.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
