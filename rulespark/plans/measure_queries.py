@@ -39,7 +39,7 @@ def grounding_dimensions(spark, sf_dir):
  SELECT cohort, count(*) AS rules, floor((SELECT count(DISTINCT rule_id) FROM c) * 10.0 / 100)::BIGINT AS allowed FROM h GROUP BY cohort""")
 def quality_budget(spark, sf_dir):
     c = claims(spark, sf_dir)
-    x = M.failure_cohorts(c.where("verdict <> 'supported' and event_id % 3 = 0"), "rule_id", "claim_type", {"evidence": ["quote"], "verdict": ["condition", "outcome"]})
+    x = M.failure_cohorts(c.where("verdict <> 'supported'"), "rule_id", "claim_type", {"evidence": ["quote"], "verdict": ["condition", "outcome"]})
     total = c.agg(F.count_distinct("rule_id").alias("total"))
     return x.groupBy("cohort").agg(F.count("*").alias("rules")).crossJoin(F.broadcast(total)).select("cohort", "rules", M.budget(F.col("total"), 10.0).alias("allowed"))
 
@@ -154,7 +154,7 @@ def type_inventory(spark, sf_dir):
 
 @query("enum_extraction", "WITH s AS (SELECT 'brand_' || p_brand AS symbol, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS vals FROM part WHERE p_partkey % 40 < 9 GROUP BY p_brand) SELECT vals AS values, arg_min(symbol, struct_pack(n := length(symbol), s := symbol)) || '_enum' AS enumeration, count(*) AS members FROM s GROUP BY vals".replace("AS values", 'AS "values"'))
 def enum_extraction(spark, sf_dir):
-    v = table(spark, sf_dir, "part").where("p_partkey % 40 < 9").select(F.concat(F.lit("brand_"), "p_brand").alias("symbol"), "p_type")
+    v = table(spark, sf_dir, "part").select(F.concat(F.lit("brand_"), "p_brand").alias("symbol"), "p_type")
     return I.enumerations(v, "symbol", "p_type")
 
 
