@@ -124,11 +124,11 @@ def token_rows(spark, sf_dir, name, key):
 
 
 def anchors(spark, sf_dir):
-    """The eight rarest words of each item, then the longest."""
+    """The 32 rarest words of each item, of equally rare ones the longest."""
     df = token_rows(spark, sf_dir, "documents", "doc_id").groupBy("token").agg(F.count("*").alias("df"))
     b = token_rows(spark, sf_dir, "benchmark", "item_id").join(df, "token")
     w = W.partitionBy("item_id").orderBy("df", F.desc(F.length("token")), "token")
-    return b.withColumn("r", F.row_number().over(w)).where("r <= 8").select("item_id", "token")
+    return b.withColumn("r", F.row_number().over(w)).where("r <= 32").select("item_id", "token")
 
 
 @query("evidence_topk", EVIDENCE + """, h AS (SELECT item_id, doc_id, any_value(n) AS n, count(*) AS score FROM a JOIN d USING (token) GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank FROM h WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)),

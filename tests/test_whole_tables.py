@@ -9,6 +9,9 @@ from rulespark import catalog
 WHOLE = {
     "section_paths": [(" WHERE strlen(text) < 4000", "")],
     "citation_exact_spans": [(" WHERE length(text) > 200", ""), ("length(text) // 2", "greatest(length(text) // 2, 1)")],
+    "rarest_anchors": [(" <= 8)", " <= 32)")],
+    "evidence_topk": [(" <= 8)", " <= 32)")],
+    "source_recovery": [(" <= 8)", " <= 32)")],
     "enum_extraction": [(" WHERE p_partkey % 40 < 9", "")],
     "orphan_concepts": [(" WHERE l_partkey % 6 = 1", "")],
     "quality_budget": [(" AND event_id % 3 = 0", "")],
