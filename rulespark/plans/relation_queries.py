@@ -30,7 +30,7 @@ def conflict_candidates(spark, sf_dir):
 def association_shared_input(spark, sf_dir):
     """Facts whose number ends in 3 lose their writers, so their readers are associated."""
     b = bindings(spark, sf_dir).where("role = 'read' OR right(fact, 1) <> '3'")
-    return R.shared_inputs(b, 20)
+    return R.shared_inputs(b)
 
 
 @query("association_shared_passage", "WITH p AS (SELECT DISTINCT 'R' || p_partkey AS rule_id, p_brand || '#' || p_size || p_type AS fact FROM part), k AS (SELECT fact FROM p GROUP BY fact HAVING count(*) <= 120), c AS (SELECT * FROM p WHERE fact IN (SELECT fact FROM k)) SELECT x.rule_id AS source, y.rule_id AS target, 'shared_passage' AS kind, false AS directed, string_agg(DISTINCT x.fact, ',' ORDER BY x.fact) AS symbols, count(DISTINCT x.fact) AS strength FROM c x JOIN c y ON x.fact = y.fact AND x.rule_id < y.rule_id GROUP BY ALL")

@@ -1,9 +1,11 @@
 """Queries over whole tables against their SQL without its cuts; the registered SQL still has them."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SQL, duck, rows  # noqa: F401
 
 from rulespark import catalog
+from rulespark.plans import relation_queries
 
 #: Query -> what to replace in its SQL.
 WHOLE = {
@@ -26,3 +28,12 @@ def test_whole_tables(spark, sf, duck, name):  # noqa: F811
         sql = sql.replace(cut, whole)
     got, want = rows(catalog.queries()[name](spark, sf).toPandas()), rows(duck.execute(sql).fetchdf())
     assert got == want
+
+
+def test_readers_up_to_the_default_bound(spark, sf, monkeypatch):
+    """120 readers of a fact are paired, 121 are not."""
+    one = relation_queries.bindings(spark, sf).where("role = 'read'").limit(1)
+    many = lambda fact, n: one.withColumn("fact", F.lit(fact)).crossJoin(spark.range(n)).withColumn("rule_id", F.concat(F.lit(f"{fact}_"), F.col("id").cast("string"))).drop("id")
+    monkeypatch.setattr(relation_queries, "bindings", lambda *_: many("a", 21).unionByName(many("b", 120)).unionByName(many("c", 121)))
+    got = catalog.queries()["association_shared_input"](spark, sf)
+    assert {r["f"]: r["n"] for r in got.groupBy(F.substring("source", 1, 1).alias("f")).agg(F.count("*").alias("n")).collect()} == {"a": 210, "b": 7140}
