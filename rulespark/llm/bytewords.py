@@ -1,19 +1,23 @@
 """Words of UTF-8 texts as numpy arrays: bounds, 64-bit hashes, runs of words.
 
 A batch of texts is one byte buffer plus offsets, exactly as Arrow hands it
-over, so no Python string is made for a word.  A word's hash is a polynomial
-over a table of mixed byte values modulo 2**64, read off prefix sums.
+over, so no Python string is made for a word.  A word of up to LONG bytes is
+hashed by runs of 8 bytes, each mixed into two lanes that depend on all runs
+before; a longer one by BLAKE2b.  Equal words have equal hashes; unequal ones
+collide with a chance of 2**-64 a pair, whatever their structure.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RADIX, _RADIX_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 #: The byte classes that separate words.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -29,7 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(_RADIX)) | U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -47,20 +50,6 @@ NOT_SPLIT = table(outside=SPLIT_BYTES)
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """radix**i and its inverse for i < n."""
-    if len(_powers[0]) < n:
-        m = max(n, 1 << 16)
-        for k, r in enumerate((_RADIX, _RADIX_INV)):
-            x = np.full(m, r, dtype=U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -109,11 +98,25 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if len(starts) == 0:
         return np.zeros(0, U)
-    up, down = powers(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, dtype=U)
-    sums[0] = 0
-    np.cumsum(_VALUES[buf] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    size = ends - starts
+    runs = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(1))
+    g = mix(h + U(0xD6E8FEB86659FD93))
+    at = np.flatnonzero(size <= LONG)
+    for k in range(LONG // 8):
+        if k:
+            at = at[size[at] > 8 * k]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - 8 * k, 8).astype(U)
+        x = runs[starts[at] + 8 * k] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * left))
+        one = mix(h[at] ^ x)
+        g[at] = mix(g[at] + one * U(0xA24BAED4963EE407) + x)
+        h[at] = one
+    out = mix(h ^ (g >> U(23) | g << U(41)))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
