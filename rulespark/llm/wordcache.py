@@ -71,6 +71,8 @@ class WordIds(WordRows):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         super().__init__(None, 0, most)
 
     def clear(self) -> None:
@@ -78,23 +80,39 @@ class WordIds(WordRows):
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(8192, np.uint32), 0
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has.
+
+        A word of letters alone is one word to the tokenizer too, so such words go in lines and are told apart by
+        the ids that close a word; should the closing ids not be as many as the words, each word goes by itself.
+        """
+        if words and all(map(str.isalpha, words)):
+            lines = [" ".join(words[k : k + 128]) for k in range(0, len(words), 128)]
+            ids = np.concatenate([np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int64, int(size.sum())), size
+
     def add(self, words: list[bytes]) -> None:
         n, m = len(self.known), len(words)
         if n + m > len(self.start):
             more = max(len(self.start), m)
             self.start, self.length = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.length))
-        for a in range(0, m, 4096):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(size.sum())
-            if self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            at = slice(n + a, n + a + len(ids))
-            self.length[at] = size
-            self.start[at] = self.used + np.cumsum(size) - size
-            self.used += total
+        texts = [w.decode() for w in words]
+        plain = np.fromiter(map(str.isalpha, texts), bool, m)
+        for which in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            for a in range(0, len(which), 4096):
+                some = which[a : a + 4096]
+                ids, size = self.encode([texts[k] for k in some])
+                if self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.length[n + some] = size
+                self.start[n + some] = self.used + np.cumsum(size) - size
+                self.used += len(ids)
 
     @staticmethod
     def cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
