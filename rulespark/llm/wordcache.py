@@ -13,6 +13,48 @@ import numpy as np
 from .bytewords import LOWER, NOT_SPLIT, strings, table, word_bounds, word_hashes
 
 
+class Slots:
+    """Hashes and their rows (0, 1, ... in order of entry) in an open table that grows; whole arrays are looked up at once."""
+
+    def __init__(self):
+        self.n = 0
+        self.resize(1 << 12)
+
+    def resize(self, size: int) -> None:
+        self.keys, self.row = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.mask = np.uint64(size - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 where it is unknown."""
+        at = (h & self.mask).astype(np.int64)
+        out = self.row[at]
+        off = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        while len(off):
+            at[off] = (at[off] + 1) & int(self.mask)
+            out[off] = self.row[at[off]]
+            off = off[(out[off] >= 0) & (self.keys[at[off]] != h[off])]
+        return out
+
+    def enter(self, h: np.ndarray) -> None:
+        """Gives the next rows to hashes that are new and distinct."""
+        if 3 * (self.n + len(h)) > len(self.row):
+            known = self.row >= 0
+            old, rows = self.keys[known], self.row[known]
+            self.resize(1 << (4 * (self.n + len(h))).bit_length())
+            self.put(old, rows)
+        self.put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def put(self, h: np.ndarray, rows: np.ndarray) -> None:
+        at, left = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.row[at[left]] < 0]
+            self.keys[at[free]] = h[free]
+            self.row[at[free]] = rows[free]
+            left = left[self.row[at[left]] != rows[left]]
+            at[left] = (at[left] + 1) & int(self.mask)
+
+
 class WordRows:
     """One row of `width` floats for each word; `compute` gets a list of words."""
 
@@ -21,11 +63,11 @@ class WordRows:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Slots()
         self.values = np.zeros((1024, self.width), dtype=np.float32)
 
     def add(self, words: list[bytes]) -> None:
-        n, m = len(self.known), len(words)
+        n, m = self.known.n, len(words)
         if n + m > len(self.values):
             grown = np.zeros((max(2 * len(self.values), n + m), self.width), dtype=np.float32)
             grown[:n] = self.values[:n]
@@ -35,17 +77,17 @@ class WordRows:
 
     def rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of each word."""
-        if len(self.known) > self.most:
+        if self.known.n > self.most:
             self.clear()
-        u, at, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        keys, get = u.tolist(), self.known.get
-        row = np.array([get(k, -1) for k in keys], dtype=np.int64)
+        h = word_hashes(buf, starts, ends)
+        row = self.known.find(h)
         new = np.flatnonzero(row < 0)
         if len(new):
-            self.add(strings(buf, starts, ends, at[new]))
-            row[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update((keys[k], r) for k, r in zip(new.tolist(), row[new].tolist(), strict=True))
-        return row[back] if len(keys) else np.zeros(0, np.int64)
+            u, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            self.add(strings(buf, starts, ends, new[at]))
+            row[new] = self.known.n + back
+            self.known.enter(u)
+        return row
 
 
 ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -76,7 +118,7 @@ class WordIds(WordRows):
         super().__init__(None, 0, most)
 
     def clear(self) -> None:
-        self.known = {}
+        self.known = Slots()
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(8192, np.uint32), 0
 
@@ -97,7 +139,7 @@ class WordIds(WordRows):
         return np.fromiter((i for x in ids for i in x), np.int64, int(size.sum())), size
 
     def add(self, words: list[bytes]) -> None:
-        n, m = len(self.known), len(words)
+        n, m = self.known.n, len(words)
         if n + m > len(self.start):
             more = max(len(self.start), m)
             self.start, self.length = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.length))
