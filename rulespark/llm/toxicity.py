@@ -5,13 +5,17 @@ whole of it), each an embedding in a hashed table; its vector is their mean.  A
 text is read in spans of `span` words; a span's words are averaged and go into a
 linear softmax over (clean, toxic).  The document's log odds are the mean over
 its spans weighted by the softmax of their own log odds, so a short insult in a
-long text still counts.  Misspellings share n-grams, hence vectors.
+long text still counts; a word like the one before it weighs nothing.
+Misspellings share n-grams, hence vectors.
 
 Embeddings and softmax are trained jointly in numpy on at most `most_docs`
 labelled texts of up to `most_bytes` bytes, chosen by a hash of the id; every
 text is scored whole.  Null, empty and wordless texts get the bias alone.
 Null labels are not learned from.  Without both labels the score is the share
-of toxic labels (0 if none).  Repeated rows get equal scores.
+of toxic labels (0 if none).  Repeated rows get equal scores; an id with several
+texts is learned from by the first of them in order, toxic if any label says so.
+An empty table gives no rows.  Other columns are carried along; a column named
+`toxicity` is replaced (pass keep to leave it out, or rename it before).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, NOT_SPACE, U, batches, buffer_of, mix, run_hashes, word_bounds
@@ -96,29 +101,41 @@ class SubwordBags:
             out[full] = np.add.reduceat(weight * z, begin)
         return out, bounds, upto, weight
 
-    def fit(self, texts: list[bytes], toxic: np.ndarray, steps: int = 160, rate: float = 0.1, decay: float = 4e-6) -> SubwordBags:
+    def fit(self, texts: list[bytes], toxic: np.ndarray, steps: int = 160, rate: float = 0.1, decay: float = 4e-6, block: int = 1 << 14) -> SubwordBags:
+        """Adam over all texts; n-grams are gone through in blocks of words, so that memory is theirs in 32 bits and little more."""
         known: dict[bytes, int] = {}
-        rows, first = [], [0]
+        rows, sizes = [], [0]
         for t in texts:
-            rows += [known.setdefault(w, len(known)) for w in t.split()]
-            first.append(len(rows))
+            rows.append(np.array([known.setdefault(w, len(known)) for w in t.split()], np.int32))
+            sizes.append(len(rows[-1]))
         if not known:
             return self
-        row, begin = np.array(rows), np.array(first)
-        at, word_first = ngrams(list(known), self.bits)
-        size, y, new = np.diff(word_first), np.asarray(toxic, float), fresh(row)
-        owner = np.repeat(np.arange(len(known)), size)
+        row, begin, words = np.concatenate(rows), np.cumsum(sizes), list(known)
+        del known, rows
+        grams = []
+        for a in range(0, len(words), block):
+            at, first = ngrams(words[a : a + block], self.bits)
+            grams.append((a, at.astype(np.int32), first))
+        n_words = len(words)
+        del words
+        y, new = np.asarray(toxic, float), fresh(row)
         params = {"emb": self.emb, "out": self.out, "bias": self.bias}
         m, v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
         class_weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        odds = np.empty(n_words)
         for step in range(1, steps + 1):
             way = self.out[:, 1] - self.out[:, 0]
-            odds = np.add.reduceat((self.emb @ way)[at], word_first[:-1]) / size
+            each = self.emb @ way
+            for a, at, first in grams:
+                odds[a : a + len(first) - 1] = np.add.reduceat(each[at], first[:-1]) / np.diff(first)
             z, bounds, upto, weight = self.pool(odds[row] * new, begin)
             dz = (1 / (1 + np.exp(-z)) - y) * class_weight
             per_span = np.repeat(dz, np.diff(upto)) * weight / np.maximum(1, np.diff(bounds))
-            per_word = np.bincount(row, np.repeat(per_span, np.diff(bounds)) * new, len(known)) / size
-            cells = np.bincount(at, per_word[owner], len(self.emb))
+            per_word = np.bincount(row, np.repeat(per_span, np.diff(bounds)) * new, n_words)
+            cells = np.zeros(len(self.emb))
+            for a, at, first in grams:
+                size = np.diff(first)
+                cells += np.bincount(at, np.repeat(per_word[a : a + len(size)] / size, size), len(cells))
             side = np.array([-1.0, 1.0])
             g = {"emb": cells[:, None] * way + decay * self.emb, "out": (self.emb.T @ cells)[:, None] * side, "bias": dz.sum() * side}
             for k, x in g.items():
@@ -137,8 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.where("_y = 1").orderBy("_h").limit(2 * most[1]).unionByName(known.where("_y = 0").orderBy("_h").limit(2 * most[0])).collect()
     chosen = docs.sparkSession.createDataFrame([(r[id_col], int(r["_y"]), r["_h"]) for r in some], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _y int, _h long")
     rows = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
-    ranked = sorted(rows.select("_y", "_h", "text").collect(), key=lambda r: (r["_h"], r.text))
-    got = [r for y in (1, 0) for r in [r for r in ranked if r["_y"] == y][: most[y]]]
+    # An id with several texts is learned from by the first of them in order.
+    one = rows.groupBy("_y", "_h", id_col).agg(F.min("text").alias("text")).withColumn("_n", F.row_number().over(W.partitionBy("_y").orderBy("_h", id_col)))
+    got = one.where(F.col("_n") <= F.when(F.col("_y") == 1, most[1]).otherwise(most[0])).orderBy("_y", "_n").select("_y", "text").collect()
     y = np.array([r["_y"] for r in got], float)
     model = SubwordBags()
     if len(y) and 0 < y.mean() < 1:
