@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, LOWER, U, batches, buffer_of, run_hashes, word_bounds, word_hashes
+from .shared import free
 
 FILTER_BITS = 20
 REPORT = "n_words long, spans array<struct<start:long,end:long,start_byte:long,end_byte:long>>, items array<string>"
@@ -91,15 +92,15 @@ def joined(spans: list) -> list[dict]:
     return [dict(zip(("start", "end", "start_byte", "end_byte"), s, strict=True)) for s in out]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_bytes: int = 1 << 20, keep: list[str] | None = None) -> DataFrame:
-    """docs (of its columns, those in keep) with a struct column `leak`: n_words, spans (word and byte positions), items."""
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_bytes: int = 1 << 20, keep: list[str] | None = None, as_col: str = "leak") -> DataFrame:
+    """docs (of its columns, those in keep) with a struct column as_col (one of that name is replaced): n_words, spans (word and byte positions), items."""
     spark = docs.sparkSession
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / most_bytes))
-    out = docs.drop("leak").withColumn("leak", F.lit(None).cast(f"struct<{REPORT.replace(' long', ':long').replace(' array', ':array')}>"))
+    out = docs.drop(as_col).withColumn(as_col, F.lit(None).cast(f"struct<{REPORT.replace(' long', ':long').replace(' array', ':array')}>"))
     every = out.schema
-    few = T.StructType([f for f in every if keep is None or f.name in {*keep, "leak"}])
+    few = T.StructType([f for f in every if keep is None or f.name in {*keep, as_col}])
     for k in range(blocks):
         schema = few if k == blocks - 1 else every
         part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
@@ -109,7 +110,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
             known = held.value
             for batch, buf, offs in batches(rows, text_col):
                 n_words, hits, items = scan(buf, offs, known)
-                at = batch.schema.get_field_index("leak")
+                at = batch.schema.get_field_index(as_col)
                 old = batch.column(at).to_pylist() if blocks > 1 else [None] * batch.num_rows
                 leak = []
                 for d, was in enumerate(old):
@@ -117,7 +118,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
                     spans = hits.get(d, []) + [tuple(s.values()) for s in was["spans"]]
                     leak.append({"n_words": int(n_words[d]), "spans": joined(spans), "items": sorted(items.get(d, set()) | set(was["items"]))})
                 made = pa.array(leak, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([made if x == "leak" else batch.column(batch.schema.get_field_index(x)) for x in names], names=list(names))
+                yield pa.RecordBatch.from_arrays([made if x == as_col else batch.column(batch.schema.get_field_index(x)) for x in names], names=list(names))
 
         out = out.mapInArrow(run, schema)
     return out
@@ -126,17 +127,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
 def clean(docs: DataFrame, benchmark: DataFrame, action: str = "documents", **kw) -> DataFrame:
     """docs without the leaks: whole documents go, or ("spans") only the passages."""
     text = kw.get("text_col", "text")
-    marked = mark(docs, benchmark, **kw)
+    leak = free("leak", docs.columns)
+    marked = mark(docs, benchmark, as_col=leak, **kw)
     if action == "documents":
-        return marked.where(F.size("leak.spans") == 0).select(*docs.columns)
+        return marked.where(F.size(f"{leak}.spans") == 0).select(*docs.columns)
     raw = F.encode(F.col(text), "UTF-8")
     cuts = F.aggregate(
-        F.col("leak.spans"), F.struct(F.lit(0).cast("long").alias("at"), F.encode(F.lit(""), "UTF-8").alias("kept")),
+        F.col(f"{leak}.spans"), F.struct(F.lit(0).cast("long").alias("at"), F.encode(F.lit(""), "UTF-8").alias("kept")),
         lambda s, x: F.struct(x["end_byte"].alias("at"), F.concat(s["kept"], F.substring(raw, (s["at"] + 1).cast("int"), (x["start_byte"] - s["at"]).cast("int"))).alias("kept")),
     )
-    kept = marked.withColumn("_cut", F.when(F.size("leak.spans") > 0, cuts))
-    rest = F.decode(F.concat(F.col("_cut.kept"), F.substring(raw, (F.col("_cut.at") + 1).cast("int"), F.lit(2147483647))), "UTF-8")
-    return kept.withColumn(text, F.when(F.col("_cut").isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
+    cut = free("cut", marked.columns)
+    kept = marked.withColumn(cut, F.when(F.size(f"{leak}.spans") > 0, cuts))
+    rest = F.decode(F.concat(F.col(f"{cut}.kept"), F.substring(raw, (F.col(f"{cut}.at") + 1).cast("int"), F.lit(2147483647))), "UTF-8")
+    return kept.withColumn(text, F.when(F.col(cut).isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

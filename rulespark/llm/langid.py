@@ -13,7 +13,8 @@ chosen by a hash of the id.  Inference covers every byte of every text.
 
 Null texts and texts without a letter are `und` with score 0; so is everything
 if no row has a language.  Empty table: no rows.  Repeated rows get equal
-answers.  Ties go to the language that sorts first.
+answers.  Ties go to the language that sorts first.  Other columns are carried
+along; ones named like the answers (as_cols) are replaced.
 """
 
 from __future__ import annotations
@@ -186,12 +187,12 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns in keep; all by default) with lang_pred and lang_score."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
+def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[str] | None = None, as_cols: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs (its columns in keep; all by default) with the language and its share of the letters."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in as_cols]
     held = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*{c: None for c in [*keep, text_col]})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + ", lang_pred string, lang_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + f", `{as_cols[0]}` string, `{as_cols[1]}` double"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: BiGru, text_col: str = "text", keep: list[st
             best = p.argmax(axis=1) if labels else np.zeros(len(doc), np.int64)
             pred = [labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, p[np.arange(len(doc)), best], 0.0) if labels else np.zeros(len(doc))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(pred, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names=[*names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(pred, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names=[*names, *as_cols])
 
     return src.mapInArrow(run, schema)
 

@@ -13,7 +13,8 @@ then need one rank within their arc.
 
 A null key hashes like any other value.  Repeated keys stay in one arc and are
 ranked next to each other.  Empty table: no rows.  Null text counts no bytes
-and has no checksum.  Other columns are carried along.
+and has no checksum.  Other columns are carried along, whatever their names;
+ones named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -86,7 +87,9 @@ def shard_rows(df: DataFrame, key: Column, shards: int = 40, nodes: int = 128, s
     cell_first = [bisect_left(at, c * width) for c in range(cells)]
     cell_nodes = [at[cell_first[c] : (cell_first[c + 1] if c + 1 < cells else n)] for c in range(cells)]
     table = spark.createDataFrame([(c, cell_first[c], cell_nodes[c]) for c in range(cells)], "_cell int, _first int, _nodes array<long>")
-    placed = df.withColumn("_at", F.pmod(F.xxhash64(F.lit("key"), key), F.lit(RING))).withColumn("_cell", F.floor(F.col("_at") / width).cast("int"))
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(None).alias("none"))
+    placed = df.select(whole.alias("_row"), key.alias("_key")).withColumn("_at", F.pmod(F.xxhash64(F.lit("key"), "_key"), F.lit(RING))).withColumn("_cell", F.floor(F.col("_at") / width).cast("int"))
     placed = placed.join(F.broadcast(table), "_cell")
     arc = F.pmod(F.col("_first") + F.size(F.filter("_nodes", lambda x: x < F.col("_at"))), F.lit(n))
     placed = placed.withColumn("_arc", arc.cast("int")).drop("_cell", "_first", "_nodes")
@@ -101,10 +104,11 @@ def shard_rows(df: DataFrame, key: Column, shards: int = 40, nodes: int = 128, s
     for a, lo, hi, shard, slot in flow(counts, owner, shares):
         runs.setdefault(a, []).append((lo, hi, shard, slot))
     plan = spark.createDataFrame([(a, r) for a, r in runs.items()] or [(-1, [])], "_arc int, _runs array<struct<lo:long,hi:long,shard:int,slot:long>>")
-    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_arc").orderBy("_at", key)) - 1)
+    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy("_arc").orderBy("_at", "_key")) - 1)
     out = ranked.join(F.broadcast(plan), "_arc")
     run = F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"]))[0]
-    return out.withColumn("_run", run).withColumns({"shard": F.col("_run.shard"), "slot": F.col("_run.slot") + F.col("_rank") - F.col("_run.lo")}).drop("_arc", "_at", "_rank", "_runs", "_run")
+    out = out.withColumn("_run", run)
+    return out.select(*(F.col(f"_row.`{c}`") for c in kept), F.col("_run.shard").alias("shard"), (F.col("_run.slot") + F.col("_rank") - F.col("_run.lo")).alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ text is scored whole.  Null, empty and wordless texts get the bias alone.
 Null labels are not learned from.  Without both labels the score is the share
 of toxic labels (0 if none).  Repeated rows get equal scores; an id with several
 texts is learned from by the first of them in order, toxic if any label says so.
-An empty table gives no rows.  Other columns are carried along; a column named
-`toxicity` is replaced (pass keep to leave it out, or rename it before).
+An empty table gives no rows.  Other columns are carried along; one named like
+the score (as_col) is replaced.
 """
 
 from __future__ import annotations
@@ -166,12 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def predict(docs: DataFrame, model: SubwordBags, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (its columns in keep; all by default) with toxicity double, 0 to 1."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
+def predict(docs: DataFrame, model: SubwordBags, text_col: str = "text", keep: list[str] | None = None, as_col: str = "toxicity") -> DataFrame:
+    """docs (its columns in keep; all by default) with as_col double, 0 to 1."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != as_col]
     held = docs.sparkSession.sparkContext.broadcast({"way": (model.emb @ (model.out[:, 1] - model.out[:, 0])).astype(np.float32), "model": (model.bits, model.span, model.bias)})
     src = docs.select(*{c: None for c in [*keep, text_col]})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + ", toxicity double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + f", `{as_col}` double"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, span, bias = held.value["model"]
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: SubwordBags, text_col: str = "text", keep: l
             starts, ends, first = word_bounds(buf, offs, NOT_SPACE)
             row = cache.rows(buf, starts, ends)
             z = net.pool(cache.values[row, 0] * fresh(row), first)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, as_col])
 
     return src.mapInArrow(run, schema)
 

@@ -50,3 +50,22 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.train(df)).first()["lang_pred"] == "und"
     assert langid.predict(df.limit(0), langid.train(df.limit(0))).count() == 0
+
+
+def test_document_scores_word_by_word(spark):
+    """A document's distribution is the mean over its letters, read off the network word by word."""
+    model = langid.BiGru(["a", "b", "c"])
+    texts = ["Ein kurzer Text, mit Zahl 12", "é", "w" * 100 + " x", "12 34", None]
+    rows = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        p, letters = np.zeros(3), 0
+        for w in (t or "").translate(langid.FOLD).encode().split():
+            for at in range(0, len(w), model.reach):
+                each, mask = model.positions([w[at : at + model.reach]])
+                p += (each[:, 0] * mask[:, 0, None]).sum(axis=0)
+                letters += mask[:, 0].sum()
+        if not letters:
+            assert (rows[k].lang_pred, rows[k].lang_score) == ("und", 0.0)
+        else:
+            assert rows[k].lang_pred == model.labels[int(p.argmax())]
+            assert abs(rows[k].lang_score - p.max() / letters) < 1e-4

@@ -41,3 +41,34 @@ def test_cases(spark, tmp_path):
 def test_clashing_columns(spark):
     out = sharding.shard_rows(spark.createDataFrame([(1, 5, 6)], "id long, shard int, slot int"), F.col("id"), 3)
     assert out.columns == ["id", "shard", "slot"] and out.first()["slot"] == 0
+
+
+def test_names_used_inside_are_carried_along(spark):
+    names = ["id", "_at", "_cell", "_arc", "_rank", "_run", "_runs", "_first", "_nodes", "_row", "_key", "Shard"]
+    out = sharding.shard_rows(spark.createDataFrame([tuple(range(12))], ", ".join(f"{n} long" for n in names)), F.col("id"), 3)
+    assert out.columns == [*names[:-1], "shard", "slot"]
+    assert out.first()[:11] == tuple(range(11))
+
+
+def test_walk_of_the_ring(spark):
+    """Against a walk from node to node: own arcs first, then what overflows goes on clockwise."""
+    places = sharding.ring(spark, 5, 8)
+    at = {r.id: r.at for r in spark.range(500).select("id", F.pmod(F.xxhash64(F.lit("key"), "id"), F.lit(sharding.RING)).alias("at")).collect()}
+    left, want, over = {s: 100 for s in range(5)}, {}, []
+    of_arc = {k: [] for k in range(len(places))}
+    for i in sorted(at, key=lambda i: (at[i], i)):
+        of_arc[next((k for k, (p, _) in enumerate(places) if p >= at[i]), 0)].append(i)
+    for k, ids in of_arc.items():
+        for i in ids:
+            if left[places[k][1]]:
+                left[places[k][1]] -= 1
+                want[i] = places[k][1]
+            else:
+                over.append((k, i))
+    for k, i in over:
+        while not left[places[k][1]]:
+            k = (k + 1) % len(places)
+        left[places[k][1]] -= 1
+        want[i] = places[k][1]
+    got = {r.id: r.shard for r in sharding.shard_rows(spark.range(500), F.col("id"), 5, 8).collect()}
+    assert got == want
