@@ -12,9 +12,10 @@ documents link when 100 * intersection >= percent * union.
    parity bitmap bound the intersection of a pair; only pairs within the bounds
    are candidates.
 4. First each group is paired with one other in each list only, and the
-   sets of their members are compared; then every pair in a list that does not
-   already hang together is.  So a group of thousands of near copies is never
-   expanded into all its pairs, and no link between components is missed.
+   sets of their members are compared; then, in the lists that do not hang
+   together yet, every pair is that does not and that bitmaps of n bits allow.  So
+   a group of thousands of near copies is never expanded into all its pairs, and
+   no link between components is missed.
 5. Components of the verified links give each document the smallest doc_id it
    can reach.
 
@@ -102,7 +103,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, a parity bitmap of 256 bits and one of n bits or more."""
+    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, a parity bitmap of 256 bits and one of n bits or more, 1,024 at least."""
     sort = np.argsort(hot, kind="stable")
     held = docs.sparkSession.sparkContext.broadcast((hot[sort], sort.astype(U)))
     names = ["doc_id", "n", "s1", "s2", "ph", "p", "b0", "b1", "b2", "b3", "w"]
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
                 m = mix(x)
                 s[0, d], s[1, d] = m.sum(), mix(m + U(1)).sum()
                 b[d] = np.packbits(np.bincount((m & U(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(U)
-                bits = max(256, 1 << (len(x) - 1).bit_length())
+                bits = max(1024, 1 << (len(x) - 1).bit_length())
                 wide.append(np.packbits(np.bincount((m & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes())
                 take = len(x) - int(needed(len(x), percent)) + 1
                 if len(keys):
@@ -208,14 +209,51 @@ def neighbours(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(cols[k]) for k in LISTED] + [pa.array(other), pa.array(np.arange(len(other)) >= len(keep))], names=[*LISTED, "other", "pair"])
 
 
+def open_lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists whose groups do not all hang together yet (comp; mixed: a group whose members do not)."""
+    names = (*LISTED, "comp", "mixed")
+    for x, at in runs(rows, names):
+        size = np.diff(at)
+        many = np.add.reduceat((x["comp"] != np.repeat(x["comp"][at[:-1]], size)) | x["mixed"].astype(bool), at[:-1]) > 0
+        keep = np.flatnonzero(np.repeat(many & (size > 1), size))
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k][keep]) for k in names], names=list(names))
+
+
+def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits the parity bitmaps of each pair differ; the longer one folds onto the shorter one."""
+    out = np.zeros(len(left), np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
+    for la, lb in {tuple(x) for x in sizes.tolist()}:
+        at = np.flatnonzero((sizes == (la, lb)).all(axis=1))
+        pair = [np.frombuffer(b"".join(side[k] for k in at.tolist()), np.uint8).reshape(len(at), -1) for side in (left, right)]
+        short = min(la, lb)
+        folded = [np.bitwise_xor.reduce(p.reshape(len(at), -1, short), axis=1) for p in pair]
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def across(rows: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> Iterator[pa.RecordBatch]:
-    """All candidates of two groups that do not hang together yet (comp; mixed: -1 hangs with nothing)."""
-    for x, at in runs(rows, (*LISTED, "comp", "mixed")):
-        found = []
+    """All candidates of two groups that do not hang together yet; bitmaps of n bits must allow them where each stands for one set."""
+
+    def allowed(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = possible(x, i, j, percent)
+        some = np.flatnonzero(ok & (x["gm"][i] == 1) & (x["gm"][j] == 1))
+        for k in range(0, len(some), 1 << 13):
+            p = some[k : k + (1 << 13)]
+            a, b = x["n"][i[p]], x["n"][j[p]]
+            least = -(-percent * (a + b) // (100 + percent))
+            ok[p] = differing(x["w"][i[p]].tolist(), x["w"][j[p]].tolist()) <= a + b - 2 * least
+        return ok
+
+    def pairs(found: list) -> pa.RecordBatch:
+        got = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    for x, at in runs(rows, (*LISTED, "comp", "mixed", "w")):
+        found, held = [], 0
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            c, mixed = x["comp"][a:b], x["mixed"][a:b]
-            if b - a < 2 or ((c == c[0]).all() and not mixed.any()):
-                continue
+            c, mixed = x["comp"][a:b], x["mixed"][a:b].astype(bool)
             top = np.searchsorted(x["n"][a:b] * percent, x["n"][a:b] * 100, "right")
             for k in range(0, b - a, block):
                 i = np.arange(k, min(b - a, k + block))
@@ -223,12 +261,14 @@ def across(rows: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> I
                     j = np.arange(m, min(int(top[i[-1]]), m + block))
                     p, q = np.nonzero((i[:, None] < j[None, :]) & ((c[i][:, None] != c[j][None, :]) | mixed[i][:, None] | mixed[j][None, :]))
                     p, q = a + i[p], a + j[q]
-                    ok = possible(x, p, q, percent)
+                    ok = allowed(x, p, q)
                     found.append(np.stack([x["gid"][p[ok]], x["gid"][q[ok]]]))
-        if found:
-            pairs = np.concatenate(found, axis=1)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                    held += int(ok.sum())
+                    if held > 1 << 20:
+                        yield pairs(found)
+                        found, held = [], 0
+        if held:
+            yield pairs(found)
 
 
 def plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
@@ -237,16 +277,12 @@ def plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             ok = []
-            for na, nb, x, y in zip(*(r.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                while len(x) != len(y):  # the longer one folds onto the shorter one
-                    if len(x) > len(y):
-                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                    else:
-                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                least = -(-percent * (na + nb) // (100 + percent))
-                ok.append(int(np.bitwise_count(x ^ y).sum()) <= na + nb - 2 * least)
-            yield r.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for k in range(0, r.num_rows, 1 << 10):
+                part = r.slice(k, 1 << 10)
+                both = part.column(2).to_numpy() + part.column(3).to_numpy()
+                least = -(-percent * both // (100 + percent))
+                ok.append(differing(part.column(4).to_pylist(), part.column(5).to_pylist()) <= both - 2 * least)
+            yield r.select([0, 1]).filter(pa.array(np.concatenate(ok) if ok else [], pa.bool_()))
 
     x = pairs.join(wide.toDF("b", "nb", "wb"), "b").join(wide.toDF("a", "na", "wa"), "a")
     return x.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
@@ -327,9 +363,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     placed = members.join(label, members["cid"] == label["node"], "left").select("gid", "cid", "n", F.coalesce("label", "cid").alias("comp"))
     state = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.col("lo").alias("gcomp"), (F.col("lo") != F.col("hi")).alias("gmixed"))
     state = label.select(F.col("node").alias("gid"), F.col("label").alias("gcomp"), F.lit(False).alias("gmixed")).join(state.select("gid"), "gid", "left_anti").unionByName(state)
-    rest = lists.join(written(state), "gid", "left").select(*LISTED, F.coalesce("gcomp", "gid").alias("comp"), F.coalesce("gmixed", F.lit(False)).alias("mixed"))
+    state = written(state)
+    rest = lists.join(state, "gid", "left").select(*LISTED, F.coalesce("gcomp", "gid").alias("comp"), F.coalesce("gmixed", F.lit(False)).alias("mixed"))
     rest = rest.repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    second = written(rest.mapInArrow(lambda rows: across(rows, percent), "a long, b long").distinct())
+    rest = written(rest.mapInArrow(open_lists, ", ".join(f"{c} long" for c in (*LISTED, "comp")) + ", mixed boolean"))
+    mapped = rest.join(wide.select(F.col("cid").alias("gid"), "w"), "gid").select(*LISTED, "comp", "mixed", "w").repartition("tok").sortWithinPartitions("tok", "n", "gid")
+    second = written(mapped.mapInArrow(lambda rows: across(rows, percent), "a long, b long").distinct())
     own = placed.where(within)
     inside = own.join(own.toDF("gid", "cid2", "n2", "comp2"), "gid").where("cid < cid2 and comp <> comp2").select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
     side = lambda c: placed.select(F.col("gid").alias(c), F.col("cid").alias(f"{c}_cid"))
@@ -338,7 +377,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     if more.limit(1).count():
         links = links.unionByName(verified(docs, more, wide, n, percent))
         label = components(links, "a", "b")
-    for t in (kept, members, second, more, wide):
+    for t in (kept, rest, members, second, more, wide, state):
         dropped(t)
     # A class of very many copies is joined by salted rows; there are 1,000 of them at most.
     total = sig.count()
