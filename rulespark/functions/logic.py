@@ -193,7 +193,7 @@ def unary_test(op: Column, value: Column, kind: Column) -> Column:
     """A predicate as a cell of a decision table; what has no form there is false."""
     v = feel_literal(value, kind)
     return F.coalesce(
-        F.when(op == "==", v).when(op == "!=", F.concat(F.lit("not("), v, F.lit(")"))).when(op.isin("<", "<=", ">", ">="), F.concat(op, F.lit(" "), v))
+        F.when(op.isin("==", "="), v).when(op.isin("!=", "<>"), F.concat(F.lit("!= "), v)).when(op.isin("<", "<=", ">", ">="), F.concat(op, F.lit(" "), v))
         .when(op == "in", F.concat(F.lit("["), v, F.lit("]"))).when(op == "not_in", F.concat(F.lit("not(["), v, F.lit("])"))).when(op == "contains", F.concat(F.lit("contains(?, "), v, F.lit(")"))),
         F.lit("false"),
     )

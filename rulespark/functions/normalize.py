@@ -29,13 +29,13 @@ def camel_to_key(c: Column) -> Column:
 def pascal(c: Column) -> Column:
     """Parts in upper case are capitalised; parts in mixed case keep their tails."""
     parts = F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda p: p != "")
-    cap = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.when(p == F.upper(p), F.lower(F.substring(p, 2, 1000))).otherwise(F.substring(p, 2, 1000)))
+    cap = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.when(p == F.upper(p), F.lower(F.substring(p, 2, 2147483647))).otherwise(F.substring(p, 2, 2147483647)))
     return F.array_join(F.transform(parts, cap), "")
 
 
 def camel(c: Column) -> Column:
     p = pascal(c)
-    return F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1000))
+    return F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 2147483647))
 
 
 def xml_id(c: Column, prefix: str = "id_") -> Column:
@@ -60,10 +60,14 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def cased_text(c: Column) -> Column:
+    """Quotes unified, soft hyphens dropped, white space collapsed."""
+    return squeeze(F.translate(c, "‘’“”­", "''\"\""))
+
+
 def ascii_text(c: Column) -> Column:
-    """Quotes unified, soft hyphens dropped, white space collapsed, lower case: text normalisation without NFKC."""
-    s = F.translate(c, "‘’“”­", "''\"\"")
-    return F.lower(squeeze(s))
+    """The same in lower case: text normalisation without NFKC."""
+    return F.lower(cased_text(c))
 
 
 def lookup(c: Column, table: dict[str, str], default: Column | None = None) -> Column:
@@ -80,5 +84,8 @@ TYPE_ALIASES = {"integer": "number", "float": "number", "decimal": "number", "bo
 
 def threshold_name(variable: Column, op: Column) -> Column:
     """Output names that say which bound a threshold is, unless they say so already."""
-    said = variable.rlike("^(maximum|minimum|allowed)_")
-    return F.when(said, variable).when(op == "<=", F.concat(F.lit("maximum_allowed_"), variable)).when(op == ">=", F.concat(F.lit("minimum_required_"), variable)).when(F.upper(op) == "IN", F.concat(F.lit("allowed_"), variable, F.lit("_values"))).otherwise(variable)
+    low = F.lower(variable)
+    return (
+        F.when((op == "<=") & ~low.contains("max"), F.concat(F.lit("maximum_allowed_"), variable)).when((op == ">=") & ~low.contains("min"), F.concat(F.lit("minimum_required_"), variable))
+        .when((F.upper(op) == "IN") & ~low.contains("allowed"), F.concat(F.lit("allowed_"), variable, F.lit("_values"))).otherwise(variable)
+    )

@@ -17,19 +17,27 @@ class Rule:
     outputs: dict[str, object]
     scope: dict | None = None
     exceptions: list[dict] = field(default_factory=list)
-    exception_outputs: dict[str, object] = field(default_factory=dict)
 
 
-def status(rule: Rule, sig: Signature) -> Column:
-    """out_of_scope, no_match, matched, defeated or unknown for each row of facts."""
+def effect(value: object, sig: Signature) -> Column:
+    """What an output is set to, as text: a literal, or the fact it names ({"symbol": name})."""
+    return sig.operand(value).cast("string") if isinstance(value, dict) else F.lit(None if value is None else str(value)).cast("string")
+
+
+def status(rule: Rule, sig: Signature, off_scope: str = "out_of_scope") -> Column:
+    """out_of_scope (off_scope), no_match, matched, defeated or unknown for each row of facts; an effect that is an unknown fact makes a match unknown."""
     cond = sig.compile(rule.condition)
+    settled = F.lit(True)
+    for v in rule.outputs.values():
+        if isinstance(v, dict):
+            settled = settled & sig.operand(v).isNotNull()
     scope = sig.compile(rule.scope) if rule.scope else F.lit(True)
     out = F.lit(False)
     for e in rule.exceptions:
         out = out | sig.compile(e)
     return (
-        F.when(scope == F.lit(False), "out_of_scope").when(scope.isNull(), "unknown").when(cond == F.lit(False), "no_match").when(cond.isNull(), "unknown")
-        .when(out, "defeated").when(out.isNull(), "unknown").otherwise("matched")
+        F.when(scope == F.lit(False), off_scope).when(scope.isNull(), "unknown").when(cond == F.lit(False), "no_match").when(cond.isNull(), "unknown")
+        .when(out, "defeated").when(out.isNull() | ~settled, "unknown").otherwise("matched")
     )
 
 
@@ -45,27 +53,34 @@ def evaluate(facts: DataFrame, rules: list[Rule], sig: Signature) -> tuple[DataF
 
 
 def decide(facts: DataFrame, rules: list[Rule], sig: Signature, target: str, policy: str) -> DataFrame:
-    """facts with decision_status, decision (the target's value) and matched (ids).
+    """facts with decision_status, decision (the target's value as text) and matched (ids).
 
-    UNIQUE: more than one match is a conflict.  ANY: several matches must agree.
-    An unknown rule makes the decision unknown unless a match under ANY already
-    gives its value.
+    UNIQUE: more than one match is a conflict, then any unknown rule makes the
+    decision unknown.  ANY: any unknown rule makes it unknown, then matches that
+    differ in any output are a conflict.  A table with a rule that does not
+    compile is refused.  A match that does not set the target decides null.
     """
     if policy not in ("UNIQUE", "ANY"):
         raise Refused("UNSUPPORTED_HIT_POLICY", policy)
-    states = F.array(*[F.struct(F.lit(r.rule_id).alias("id"), status(r, sig).alias("s"), F.lit(str(r.outputs.get(target))).alias("v")) for r in rules])
+    names = sorted({k for r in rules for k in r.outputs})
+    values_of = lambda r: F.array(*[effect(r.outputs.get(k), sig) for k in names]) if names else F.array().cast("array<string>")
+    try:
+        states = F.array(*[F.struct(F.lit(r.rule_id).alias("id"), status(r, sig).alias("s"), values_of(r).alias("v")) for r in rules])
+    except Refused:
+        return facts.withColumns({"decision_status": F.lit("refused"), "decision": F.lit(None).cast("string"), "matched": F.lit("")})
     x = facts.withColumn("_s", states)
-    hits = F.filter("_s", lambda s: s["s"] == "matched")
-    maybe = F.filter("_s", lambda s: s["s"] == "unknown")
-    values = F.array_distinct(F.transform(hits, lambda s: s["v"]))
-    n, agree = F.size(hits), F.size(values) == 1
+    hits, maybe = F.filter("_s", lambda s: s["s"] == "matched"), F.filter("_s", lambda s: s["s"] == "unknown")
+    values = lambda k: F.array_distinct(F.filter(F.transform(hits, lambda s: s["v"][names.index(k)]), lambda v: v.isNotNull()))
+    differ = F.lit(False)
+    for k in names:
+        differ = differ | (F.size(values(k)) > 1)
     if policy == "UNIQUE":
-        state = F.when(n > 1, "conflict").when(F.size(maybe) > 0, "unknown").when(n == 1, "matched").otherwise("no_match")
+        state = F.when(F.size(hits) > 1, "conflict").when(F.size(maybe) > 0, "unknown")
     else:
-        open_ = F.exists(maybe, lambda s: ~F.array_contains(values, s["v"]))
-        state = F.when(F.size(values) > 1, "conflict").when((F.size(maybe) > 0) & ((n == 0) | open_), "unknown").when(agree, "matched").otherwise("no_match")
-    x = x.withColumn("decision_status", state)
-    return x.withColumns({"decision": F.when(F.col("decision_status") == "matched", values[0]), "matched": F.array_join(F.array_sort(F.transform(hits, lambda s: s["id"])), ",")}).drop("_s")
+        state = F.when(F.size(maybe) > 0, "unknown").when(differ, "conflict")
+    x = x.withColumn("decision_status", state.when(F.size(hits) > 0, "matched").otherwise("no_match"))
+    decision = F.get(values(target), F.lit(0)) if target in names else F.lit(None).cast("string")
+    return x.withColumns({"decision": F.when(F.col("decision_status") == "matched", decision), "matched": F.array_join(F.array_sort(F.transform(hits, lambda s: s["id"])), ",")}).drop("_s")
 
 
 def replay(cases: DataFrame, old: list[Rule], new: list[Rule], sig: Signature, target: str) -> DataFrame:

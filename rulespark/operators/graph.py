@@ -69,15 +69,17 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def longest_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level) of an acyclic graph: the longest path that leads to the node (its topological level)."""
+    """(node, level) of an acyclic graph: the longest path that leads to the node (its topological level).  A cycle raises ValueError."""
     e = edges.select("source", "target").distinct()
     now = cut(nodes.select("node", F.lit(0).alias("level")).distinct())
-    while True:
+    rounds = now.count()
+    for _ in range(rounds + 1):
         up = now.join(e, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg((F.max("level") + 1).alias("up"))
         new = cut(now.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), F.col("level").alias("was")))
         now = new.select("node", "level")
         if not new.where("level > was").limit(1).count():
             return now
+    raise ValueError("the graph has a cycle")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

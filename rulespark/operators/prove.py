@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logic import THEORIES, Signature
+from ..functions.logic import THEORIES, Refused, Signature
 
 BUDGET = 10_000
 
@@ -74,7 +74,10 @@ def coverage(spark: SparkSession, formulas: dict[str, dict], domains: list[Domai
 
 
 def overlaps(spark: SparkSession, formulas: dict[str, dict], outputs: dict[str, str], domains: list[Domain]) -> DataFrame:
-    """Every pair of rules: whether both can hold, the first witness, and whether their outputs then conflict."""
+    """Every pair of rules: whether both can hold, the first witness, and whether their outputs then conflict.  Refused beyond the budget."""
+    state = guard(domains, BUDGET)
+    if state:
+        raise Refused("UNBOUNDED_DOMAIN" if state == "unknown" else "BUDGET_EXCEEDED", ", ".join(d.symbol for d in domains))
     sig = Signature({d.symbol: d.theory for d in domains})
     rows = F.array(*[F.struct(F.lit(k).alias("id"), sig.compile(f).alias("f"), F.lit(outputs[k]).alias("out")) for k, f in sorted(formulas.items())])
     a = assignments(spark, domains).select("o", witness([d.symbol for d in domains]).alias("w"), F.filter(rows, lambda r: r["f"]).alias("r"))
@@ -88,3 +91,30 @@ def hit_policy(pairs: DataFrame, policy: str) -> DataFrame:
     if bad is None:
         return pairs.sparkSession.range(1).select(F.lit(policy).alias("policy"), F.lit("unknown" if policy == "COLLECT" else "refused").alias("status"), F.lit(0).cast("long").alias("offending"))
     return pairs.agg(F.count_if(bad).alias("offending")).select(F.lit(policy).alias("policy"), F.when(F.col("offending") > 0, "refused").otherwise("proved").alias("status"), "offending")
+
+
+def proof(spark: SparkSession, formulas: dict[str, dict], outputs: dict[str, str], domains: list[Domain], policy: str) -> DataFrame:
+    """hit_policy of the rules' overlaps; unknown or timeout where they cannot be gone through."""
+    state = guard(domains, BUDGET)
+    if state and policy in ("UNIQUE", "ANY"):
+        return spark.range(1).select(F.lit(policy).alias("policy"), F.lit(state).alias("status"), F.lit(None).cast("long").alias("offending"))
+    return hit_policy(overlaps(spark, formulas, outputs, domains), policy)
+
+
+def counterexample(spark: SparkSession, left: dict, right: dict, domains: list[Domain], budget: int = BUDGET) -> DataFrame:
+    """An assignment under which the two formulas differ (one true, the other false): status counterexample | equivalent | unknown | timeout."""
+    state = guard(domains, budget)
+    if state:
+        return spark.range(1).select(F.lit(state).alias("status"), F.lit(None).cast("string").alias("witness"))
+    sig = Signature({d.symbol: d.theory for d in domains})
+    a = assignments(spark, domains).where(sig.compile(left) != sig.compile(right)).agg(F.min_by(witness([d.symbol for d in domains]), "o").alias("witness"))
+    return a.select(F.when(F.col("witness").isNull(), "equivalent").otherwise("counterexample").alias("status"), "witness")
+
+
+def entails(spark: SparkSession, condition: dict, symbol: str, value, domains: list[Domain], budget: int = BUDGET) -> bool | None:
+    """Does the condition hold only where the symbol has the value?  None if that cannot be decided."""
+    kind = {d.symbol: d.theory for d in domains}.get(symbol)
+    if kind is None or guard(domains, budget):
+        return None
+    other = {"op": "and", "args": [condition, {"op": "ne", "left": {"symbol": symbol}, "right": {"literal": value, "type": kind}}]}
+    return satisfiable(spark, other, domains, budget).first()["status"] == "unsat"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
+
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,15 +75,22 @@ def exact_span(text: Column, quote: Column) -> Column:
     return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(quote)).alias("end")))
 
 
-def anchor_span(text: Column, quote: Column, size: int = 6) -> Column:
-    """Span from the quote's first `size` words to its last `size`, in order, at most twice as long as the quote."""
-    w = F.split(F.trim(quote), r"\s+")
-    head, tail = F.array_join(F.slice(w, 1, size), " "), F.array_join(F.slice(w, -size, size), " ")
-    a = F.position(head, text)
-    b = F.when(a > 0, F.position(tail, text, a))
-    end = b - 1 + F.length(tail)
-    ok = (F.size(w) >= 2 * size) & (a > 0) & (b > 0) & (end - a + 1 <= 2 * F.length(quote))
-    return F.when(ok, F.struct((a - 1).alias("start"), end.alias("end")))
+def anchor_repair(text: Column, quote: Column) -> Column:
+    """The text between a quote's first and last 6, else 5, else 4 words, as it stands in the text; null if there is none.
+
+    Both are normalised; the last words are looked for after the first ones, and what lies between
+    may be twice as long as the quote at most.
+    """
+    cased, q = N.cased_text(text), N.ascii_text(quote)
+    low, w = F.lower(cased), F.split(q, " ")
+    out = []
+    for size in (6, 5, 4):
+        head, tail = F.array_join(F.slice(w, 1, size), " "), F.array_join(F.slice(w, -size, size), " ")
+        a = F.position(head, low)
+        b = F.when(a > 0, F.position(tail, low, a + F.length(head)))
+        n = b + F.length(tail) - a
+        out.append(F.when((F.size(w) >= 2 * size) & (a > 0) & (b > 0) & (n <= 2 * F.length(q)), F.substring(cased, a, n)))
+    return F.when((F.length(low) == F.length(cased)) & (q != "") & (low != ""), F.coalesce(*out))
 
 
 def word_span_matches(text: Column, start: Column, end: Column, quote: Column) -> Column:

@@ -51,7 +51,7 @@ def camel_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("raw"), N.camel_to_key(c).alias("entity")).distinct()
 
 
-@query("orphan_concepts", "SELECT p_type AS concept, count(DISTINCT p_brand) AS brands, count(l_partkey) AS uses, count(l_partkey) = 0 AS orphan FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_partkey % 6 = 1) ON l_partkey = p_partkey GROUP BY p_type")
+@query("orphan_concepts", "SELECT p_type AS concept, count(DISTINCT p_brand) AS brands, count(l_partkey) AS uses, count(l_partkey) = 0 AS orphan FROM part LEFT JOIN (SELECT l_partkey FROM lineitem) ON l_partkey = p_partkey GROUP BY p_type")
 def orphan_concepts(spark, sf_dir):
     u = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("u"))
     g = table(spark, sf_dir, "part").join(u, "p_partkey", "left").groupBy(F.col("p_type").alias("concept")).agg(F.count_distinct("p_brand").alias("brands"), F.coalesce(F.sum("u"), F.lit(0)).alias("uses"))

@@ -82,11 +82,11 @@ def decision_sql(policy: str, t: float = 250000.0) -> str:
     r AS (SELECT o_orderkey, unnest([{{'id': 'A1', 'v': 'senior', 'm': o_totalprice >= {t}}}, {{'id': 'A2', 'v': 'fast', 'm': priority = '1-URGENT' AND o_totalprice < 300000}},
       {{'id': 'A3', 'v': 'senior', 'm': o_orderstatus = 'O' AND o_totalprice >= 200000 AND NOT (priority = '1-URGENT')}}]) AS x FROM f),
     g AS (SELECT o_orderkey, count(*) FILTER (WHERE x.m) AS n, count(*) FILTER (WHERE x.m IS NULL) AS u, count(DISTINCT x.v) FILTER (WHERE x.m) AS nv,
-      min(x.v) FILTER (WHERE x.m) AS v, list(DISTINCT x.v) FILTER (WHERE x.m IS NULL) AS uv, coalesce(string_agg(x.id, ',' ORDER BY x.id) FILTER (WHERE x.m), '') AS matched FROM r GROUP BY o_orderkey),"""
+      min(x.v) FILTER (WHERE x.m) AS v, coalesce(string_agg(x.id, ',' ORDER BY x.id) FILTER (WHERE x.m), '') AS matched FROM r GROUP BY o_orderkey),"""
     if policy == "UNIQUE":
         s = "CASE WHEN n > 1 THEN 'conflict' WHEN u > 0 THEN 'unknown' WHEN n = 1 THEN 'matched' ELSE 'no_match' END"
     else:
-        s = "CASE WHEN nv > 1 THEN 'conflict' WHEN u > 0 AND (n = 0 OR len(list_filter(uv, lambda z: z <> v)) > 0) THEN 'unknown' WHEN nv = 1 THEN 'matched' ELSE 'no_match' END"
+        s = "CASE WHEN u > 0 THEN 'unknown' WHEN nv > 1 THEN 'conflict' WHEN nv = 1 THEN 'matched' ELSE 'no_match' END"
     return head + f" d AS (SELECT *, {s} AS decision_status FROM g)"
 
 

@@ -35,7 +35,7 @@ def grounding_dimensions(spark, sf_dir):
     return g.withColumn("status", F.when(F.col("contradicted") > 0, "failed").when(F.col("insufficient") > 0, "held").otherwise("passed"))
 
 
-@query("quality_budget", CLAIMS + """, f AS (SELECT rule_id, list(DISTINCT claim_type) AS k FROM c WHERE verdict <> 'supported' AND event_id % 3 = 0 GROUP BY rule_id), h AS (SELECT CASE WHEN len(list_filter(k, lambda x: x NOT IN ('quote'))) = 0 THEN 'evidence' WHEN len(list_filter(k, lambda x: x NOT IN ('condition', 'outcome'))) = 0 THEN 'verdict' ELSE 'mixed' END AS cohort FROM f)
+@query("quality_budget", CLAIMS + """, f AS (SELECT rule_id, list(DISTINCT claim_type) AS k FROM c WHERE verdict <> 'supported' GROUP BY rule_id), h AS (SELECT CASE WHEN len(list_filter(k, lambda x: x NOT IN ('quote'))) = 0 THEN 'evidence' WHEN len(list_filter(k, lambda x: x NOT IN ('condition', 'outcome'))) = 0 THEN 'verdict' ELSE 'mixed' END AS cohort FROM f)
  SELECT cohort, count(*) AS rules, floor((SELECT count(DISTINCT rule_id) FROM c) * 10.0 / 100)::BIGINT AS allowed FROM h GROUP BY cohort""")
 def quality_budget(spark, sf_dir):
     c = claims(spark, sf_dir)
@@ -121,38 +121,44 @@ def log_classes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(F.when(t.rlike("(?i)(error|failed)"), "error").when(t.rlike("(?i)warn"), "warning").when(t.rlike("(?i)(and|done)"), "success").otherwise("plain").alias("kind")).agg(F.count("*").alias("n"))
 
 
-VARS = """WITH v AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'loan_amount' WHEN 1 THEN 'interest_rate' WHEN 2 THEN 'form_number' WHEN 3 THEN 'note' WHEN 4 THEN 'signing_date' ELSE 'item_count' END || '_' || (p_partkey % 50) AS name,
- CASE WHEN p_size % 9 = 0 THEN 'boolean' WHEN p_size % 7 = 0 THEN 'date' WHEN p_size % 2 = 0 THEN 'number' ELSE 'string' END AS kind, CASE WHEN p_size % 5 = 0 THEN 'usd' WHEN p_size % 11 = 0 THEN 'usd_per_month' END AS unit, CASE WHEN p_size % 13 = 0 THEN 3 ELSE 0 END AS n_allowed, p_size % 3 = 0 AS free_text, p_size % 4 = 0 AS integral FROM part),
- b AS (SELECT *, CASE WHEN regexp_matches(name, '(^|_)(amount|price|balance|fee)($|_)') THEN 'Money' WHEN regexp_matches(name, '(^|_)(rate|percent|ratio)($|_)') THEN 'Percentage' WHEN regexp_matches(name, '(^|_)(id|number|code|key)($|_)') THEN 'Identifier' WHEN regexp_matches(name, '(^|_)(date)($|_)') THEN 'Date' WHEN regexp_matches(name, '(^|_)(count|quantity|size)($|_)') THEN 'Integer' END AS byname FROM v),
- t AS (SELECT *, CASE WHEN n_allowed > 0 THEN 'Enumeration' WHEN kind = 'boolean' THEN 'Boolean' WHEN kind = 'date' THEN 'Date' WHEN contains(unit, '_per_') THEN 'Quantity' WHEN unit = 'usd' THEN 'Money' WHEN kind = 'number' THEN CASE WHEN integral THEN 'Integer' WHEN byname IN ('Money', 'Percentage', 'Integer') THEN byname ELSE 'Decimal' END ELSE CASE WHEN free_text THEN 'Text' ELSE coalesce(byname, 'String') END END AS type FROM b)"""
+VARS = """WITH v AS (SELECT p_partkey AS k, 'v' || (p_partkey % 50) || ['_loan_amount', '_interest_rate', '_form_number', '_note', '_signing_date', '_item_count', '_lock_period'][p_partkey % 7 + 1] AS name,
+ CASE WHEN p_size % 9 = 0 THEN 'boolean' WHEN p_size % 7 = 0 THEN 'date' WHEN p_size % 17 = 0 THEN 'time' WHEN p_size % 19 = 0 THEN 'list' WHEN p_size % 23 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'number' ELSE 'string' END AS kind,
+ CASE WHEN p_size % 5 = 0 THEN 'usd' WHEN p_size % 11 = 0 THEN 'usd_per_month' WHEN p_size % 29 = 0 THEN 'furlong' END AS unit, CASE WHEN p_size % 13 = 0 THEN 3 ELSE 0 END AS n_allowed, p_size % 3 = 0 AS free_text, p_size % 4 = 0 AS integral FROM part),
+ b AS (SELECT *, CASE WHEN suffix(name, '_number') THEN 'Identifier' WHEN suffix(name, '_amount') THEN 'Money' WHEN suffix(name, '_rate') THEN 'Percentage' WHEN suffix(name, '_period') THEN 'Duration' WHEN suffix(name, '_count') THEN 'Integer' WHEN suffix(name, '_date') THEN 'Date' END AS byname FROM v),
+ u AS (SELECT *, CASE WHEN n_allowed > 0 THEN ['Enumeration', 'declared', ''] WHEN kind = 'boolean' THEN ['Boolean', 'declared', ''] WHEN kind = 'date' THEN ['Date', 'declared', ''] WHEN kind = 'time' THEN ['Time', 'declared', ''] WHEN unit = 'usd' THEN ['Money', 'declared', ''] WHEN unit = 'usd_per_month' THEN ['Money', 'declared', 'y']
+  WHEN kind = 'number' AND integral THEN ['Integer', 'derived', ''] WHEN kind = 'number' AND byname IN ('Money', 'Percentage', 'Integer', 'Duration') THEN [byname, 'heuristic', 'y'] WHEN kind = 'number' THEN ['Decimal', 'derived', ''] WHEN kind = 'list' THEN ['String', 'derived', 'y'] WHEN kind = 'string' AND free_text THEN ['Text', 'declared', '']
+  WHEN byname IS NOT NULL THEN [byname, 'heuristic', 'y'] ELSE ['String', 'fallback', 'y'] END AS x FROM b),
+ t AS (SELECT *, x[1] AS type, x[2] AS basis, x[3] = 'y' AS needs_review FROM u)"""
 
 
 def variables(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
-    base = F.element_at(F.array(*map(F.lit, ["loan_amount", "interest_rate", "form_number", "note", "signing_date", "item_count"])), (k % 6 + 1).cast("int"))
-    x = p.select(k.alias("k"), F.concat_ws("_", base, (k % 50).cast("string")).alias("name"), F.when(s % 9 == 0, "boolean").when(s % 7 == 0, "date").when(s % 2 == 0, "number").otherwise("string").alias("kind"), F.when(s % 5 == 0, "usd").when(s % 11 == 0, "usd_per_month").alias("unit"), F.when(s % 13 == 0, 3).otherwise(0).alias("n_allowed"), (s % 3 == 0).alias("free_text"), (s % 4 == 0).alias("integral"))
+    base = F.element_at(F.array(*map(F.lit, ["_loan_amount", "_interest_rate", "_form_number", "_note", "_signing_date", "_item_count", "_lock_period"])), (k % 7 + 1).cast("int"))
+    kind = F.when(s % 9 == 0, "boolean").when(s % 7 == 0, "date").when(s % 17 == 0, "time").when(s % 19 == 0, "list").when(s % 23 == 0, None).when(s % 2 == 0, "number").otherwise("string")
+    unit = F.when(s % 5 == 0, "usd").when(s % 11 == 0, "usd_per_month").when(s % 29 == 0, "furlong")
+    x = p.select(k.alias("k"), F.concat(F.lit("v"), (k % 50).cast("string"), base).alias("name"), kind.alias("kind"), unit.alias("unit"), F.when(s % 13 == 0, 3).otherwise(0).alias("n_allowed"), (s % 3 == 0).alias("free_text"), (s % 4 == 0).alias("integral"))
     return x.withColumn("t", I.infer_type(F.col("name"), F.col("kind"), F.col("unit"), F.col("n_allowed"), F.col("free_text"), F.col("integral"))).withColumn("type", F.col("t.type"))
 
 
-@query("type_inference", VARS + " SELECT k, name, type FROM t")
+@query("type_inference", VARS + " SELECT k, name, type, basis, needs_review FROM t")
 def type_inference(spark, sf_dir):
-    return variables(spark, sf_dir).select("k", "name", "type")
+    return variables(spark, sf_dir).select("k", "name", "t.type", "t.basis", "t.needs_review")
 
 
-@query("type_reconcile", VARS + """, r(a, b) AS (VALUES ('Money','Decimal'),('Percentage','Decimal'),('Quantity','Decimal'),('Integer','Decimal'),('Identifier','String'),('Text','String'),('DateTime','Date')), c AS (SELECT DISTINCT name, type FROM t),
+@query("type_reconcile", VARS + """, r(a, b) AS (VALUES ('Money','Decimal'),('Percentage','Decimal'),('Quantity','Decimal'),('Integer','Decimal'),('Duration','Decimal'),('Identifier','String'),('Identifier','Text'),('Text','String'),('Enumeration','String'),('Enumeration','Text')), c AS (SELECT DISTINCT name, type FROM t),
  o AS (SELECT x.name, x.type, max(CASE WHEN x.type <> y.type AND r.a IS NULL THEN 1 ELSE 0 END) AS open FROM c x JOIN c y ON x.name = y.name LEFT JOIN r ON r.a = x.type AND r.b = y.type GROUP BY ALL) SELECT name, max(CASE WHEN open = 0 THEN type END) AS type, count(*) AS candidates FROM o GROUP BY name""")
 def type_reconcile(spark, sf_dir):
     return I.reconcile(variables(spark, sf_dir), "name", "type")
 
 
-@query("type_inventory", VARS + " SELECT CASE WHEN type IN ('Money', 'Percentage', 'Integer', 'Decimal', 'Quantity') THEN 'quantity' WHEN type = 'Date' THEN 'temporal' WHEN type = 'Boolean' THEN 'flag' WHEN type = 'Enumeration' THEN 'categorical' WHEN type = 'Identifier' THEN 'identifier' ELSE 'descriptive' END AS category, count(*) AS n, count(DISTINCT name) AS names FROM t GROUP BY ALL")
+@query("type_inventory", VARS + " SELECT CASE WHEN type IN ('Money', 'Percentage', 'Integer', 'Decimal', 'Quantity') THEN 'quantity' WHEN type IN ('Date', 'Time', 'Duration') THEN 'temporal' WHEN type = 'Boolean' THEN 'flag' WHEN type = 'Enumeration' THEN 'categorical' WHEN type = 'Identifier' THEN 'identifier' ELSE 'descriptive' END AS category, count(*) AS n, count(DISTINCT name) AS names FROM t GROUP BY ALL")
 def type_inventory(spark, sf_dir):
     x = variables(spark, sf_dir)
     return x.groupBy(N.lookup(F.col("type"), I.CATEGORY).alias("category")).agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
 
 
-@query("enum_extraction", "WITH s AS (SELECT 'brand_' || p_brand AS symbol, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS vals FROM part WHERE p_partkey % 40 < 9 GROUP BY p_brand) SELECT vals AS values, arg_min(symbol, struct_pack(n := length(symbol), s := symbol)) || '_enum' AS enumeration, count(*) AS members FROM s GROUP BY vals".replace("AS values", 'AS "values"'))
+@query("enum_extraction", "WITH s AS (SELECT 'Brand' || replace(p_brand, '#', '') AS symbol, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS vals FROM part GROUP BY p_brand) SELECT vals AS values, arg_min(symbol, struct_pack(n := length(symbol), s := symbol)) AS enumeration, count(*) AS members FROM s GROUP BY vals".replace("AS values", 'AS "values"'))
 def enum_extraction(spark, sf_dir):
     v = table(spark, sf_dir, "part").select(F.concat(F.lit("brand_"), "p_brand").alias("symbol"), "p_type")
     return I.enumerations(v, "symbol", "p_type")
@@ -253,7 +259,7 @@ def bpmn_flows(spark, sf_dir):
 
 @query("dmn_unary_tests", """WITH x AS (SELECT p_partkey, ['==', '!=', '<', '>=', 'in', 'not_in', 'contains', 'odd'][p_partkey % 8 + 1] AS op, CASE WHEN p_size % 3 = 0 THEN 'number' WHEN p_size % 3 = 1 THEN 'string' ELSE 'date' END AS kind, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 3 = 0 THEN p_size::VARCHAR ELSE p_name END AS v FROM part),
  l AS (SELECT *, CASE WHEN v IS NULL THEN 'null' WHEN kind = 'number' THEN v WHEN kind = 'date' THEN 'date("' || v || '")' ELSE '"' || v || '"' END AS t FROM x)
- SELECT p_partkey, CASE op WHEN '==' THEN t WHEN '!=' THEN 'not(' || t || ')' WHEN '<' THEN '< ' || t WHEN '>=' THEN '>= ' || t WHEN 'in' THEN '[' || t || ']' WHEN 'not_in' THEN 'not([' || t || '])' WHEN 'contains' THEN 'contains(?, ' || t || ')' ELSE 'false' END AS cell FROM l""")
+ SELECT p_partkey, CASE op WHEN '==' THEN t WHEN '!=' THEN '!= ' || t WHEN '<' THEN '< ' || t WHEN '>=' THEN '>= ' || t WHEN 'in' THEN '[' || t || ']' WHEN 'not_in' THEN 'not([' || t || '])' WHEN 'contains' THEN 'contains(?, ' || t || ')' ELSE 'false' END AS cell FROM l""")
 def dmn_unary_tests(spark, sf_dir):
     s = F.col("p_size")
     op = F.element_at(F.array(*map(F.lit, ["==", "!=", "<", ">=", "in", "not_in", "contains", "odd"])), (F.col("p_partkey") % 8 + 1).cast("int"))

@@ -20,7 +20,7 @@ def headed(spark, sf_dir):
     return x.withColumn("said", F.when(F.col("line") % 5 == 0, mark).otherwise(F.col("said")))
 
 
-HEADED = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE strlen(text) < 4000),
+HEADED = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
  l AS (SELECT doc_id, unnest(range(0, len(ls)))::INTEGER AS line FROM d),
  h AS (SELECT doc_id, line, CASE WHEN line % 5 = 0 THEN [1, 2, 3, 2][(line // 5) % 4 + 1] ELSE 0 END AS level FROM l)"""
 
@@ -110,7 +110,7 @@ def token_index(spark, sf_dir):
 EVIDENCE = """WITH d AS (SELECT doc_id, length(text) AS n, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4))) AS token FROM documents),
  b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4))) AS token FROM benchmark),
  f AS (SELECT token, count(*) AS df FROM d GROUP BY token),
- a AS (SELECT item_id, token FROM b JOIN f USING (token) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, length(token) DESC, token) <= 8)"""
+ a AS (SELECT item_id, token FROM b JOIN f USING (token) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, length(token) DESC, token) <= 32)"""
 
 
 @query("rarest_anchors", EVIDENCE + " SELECT item_id, string_agg(token, ',' ORDER BY token) AS anchors FROM a GROUP BY item_id")
@@ -152,7 +152,7 @@ def source_recovery(spark, sf_dir):
 
 
 #: Quotes: 60 characters from the middle of every document; every third is changed in its middle words.
-QUOTES = """WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'not in any text at all' ELSE substr(text, length(text) // 2, 60) END AS quote FROM documents WHERE length(text) > 200)"""
+QUOTES = """WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'not in any text at all' ELSE substr(text, greatest(length(text) // 2, 1), 60) END AS quote FROM documents)"""
 
 
 @query("citation_exact_spans", QUOTES + " SELECT doc_id, CASE WHEN strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END::INTEGER AS start_at, CASE WHEN strpos(text, quote) > 0 THEN strpos(text, quote) - 1 + length(quote) END::INTEGER AS end_at FROM q")
@@ -163,18 +163,22 @@ def citation_exact_spans(spark, sf_dir):
     return x.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
 
 
-ANCHOR = """WITH w AS (SELECT doc_id, text, string_split_regex(trim(text), '\\s+') AS ws FROM documents), q AS (SELECT doc_id, text, array_to_string(ws[1:6], ' ') AS h, array_to_string(ws[15:20], ' ') AS t, array_to_string(ws[1:6], ' ') || ' lost words here ' || array_to_string(ws[15:20], ' ') AS quote FROM w WHERE len(ws) >= 20),
- p AS (SELECT *, strpos(text, h) AS a, CASE WHEN strpos(text, h) > 0 AND strpos(substr(text, strpos(text, h)), t) > 0 THEN strpos(text, h) - 1 + strpos(substr(text, strpos(text, h)), t) ELSE 0 END AS b FROM q)"""
+#: Quotes that keep the first and last n words of the first 20, 18 or 14 words of a text, around other words.
+ANCHOR = """WITH z AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS ws, 4 + doc_id % 4 AS n FROM z),
+ q AS (SELECT doc_id, t, lower(t) AS l, string_split(lower(array_to_string(ws[1:n], ' ') || ' lost ' || array_to_string(ws[15:14 + n], ' ')), ' ') AS ws, n FROM w WHERE len(ws) >= 22),
+ k AS (SELECT doc_id, t, l, ws, length(array_to_string(ws, ' ')) AS m, unnest([6, 5, 4]) AS size FROM q),
+ h AS (SELECT *, array_to_string(ws[1:size], ' ') AS h, array_to_string(ws[len(ws) - size + 1:], ' ') AS e FROM k WHERE len(ws) >= 2 * size),
+ p AS (SELECT *, strpos(l, h) AS a, CASE WHEN strpos(l, h) > 0 THEN strpos(substr(l, strpos(l, h) + length(h)), e) END AS b FROM h),
+ r AS (SELECT doc_id, size, substr(t, a, length(h) + b - 1 + length(e)) AS span FROM p WHERE a > 0 AND b > 0 AND length(h) + b - 1 + length(e) <= 2 * m AND length(l) = length(t))"""
 
 
-@query("citation_anchor_repair", ANCHOR + " SELECT doc_id, CASE WHEN a > 0 AND b > 0 AND b - 1 + length(t) - a + 1 <= 2 * length(quote) THEN a - 1 END::INTEGER AS start_at, CASE WHEN a > 0 AND b > 0 AND b - 1 + length(t) - a + 1 <= 2 * length(quote) THEN b - 1 + length(t) END::INTEGER AS end_at FROM p")
+@query("citation_anchor_repair", ANCHOR + " SELECT q.doc_id, arg_max(span, size) AS repaired FROM q LEFT JOIN r USING (doc_id) GROUP BY q.doc_id")
 def citation_anchor_repair(spark, sf_dir):
-    """Quotes whose middle has drifted: the first six and words 15 to 20 of a text around other words."""
-    ws = F.split(F.trim("text"), r"\s+")
-    d = table(spark, sf_dir, "documents").withColumn("ws", ws).where(F.size("ws") >= 20)
-    quote = F.concat(F.array_join(F.slice("ws", 1, 6), " "), F.lit(" lost words here "), F.array_join(F.slice("ws", 15, 6), " "))
-    x = d.withColumn("s", T.anchor_span(F.col("text"), quote))
-    return x.select("doc_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+    """Quotes whose middle has drifted."""
+    n = (F.lit(4) + F.col("doc_id") % 4).cast("int")
+    d = table(spark, sf_dir, "documents").withColumn("ws", F.split(N.squeeze(F.col("text")), " ")).where(F.size("ws") >= 22)
+    quote = F.concat(F.array_join(F.slice("ws", F.lit(1), n), " "), F.lit(" lost "), F.array_join(F.slice("ws", F.lit(15), n), " "))
+    return d.select("doc_id", T.anchor_repair(F.col("text"), quote).alias("repaired"))
 
 
 @query("word_span_check", "WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS ws FROM documents) SELECT doc_id % 5 AS bucket, count(*) FILTER (WHERE len(ws) >= 9 AND (doc_id % 5 <> 0 OR array_to_string(ws[4:9], ' ') = array_to_string(ws[3:8], ' '))) AS verified, count(*) AS n FROM w GROUP BY ALL")

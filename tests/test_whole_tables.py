@@ -1,34 +1,10 @@
-"""Queries over whole tables against their SQL without its cuts; the registered SQL still has them."""
+"""Bounds as the defaults have them."""
 
-import pytest
 from pyspark.sql import functions as F
-from test_queries import SQL, duck, rows  # noqa: F401
 
 from rulespark import catalog
 from rulespark.plans import relation_queries
 
-#: Query -> what to replace in its SQL.
-WHOLE = {
-    "section_paths": [(" WHERE strlen(text) < 4000", "")],
-    "citation_exact_spans": [(" WHERE length(text) > 200", ""), ("length(text) // 2", "greatest(length(text) // 2, 1)")],
-    "rarest_anchors": [(" <= 8)", " <= 32)")],
-    "evidence_topk": [(" <= 8)", " <= 32)")],
-    "source_recovery": [(" <= 8)", " <= 32)")],
-    "enum_extraction": [(" WHERE p_partkey % 40 < 9", "")],
-    "orphan_concepts": [(" WHERE l_partkey % 6 = 1", "")],
-    "quality_budget": [(" AND event_id % 3 = 0", "")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_tables(spark, sf, duck, name):  # noqa: F811
-    sql = SQL[name]
-    for cut, whole in WHOLE[name]:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    got, want = rows(catalog.queries()[name](spark, sf).toPandas()), rows(duck.execute(sql).fetchdf())
-    assert got == want
-
 
 def test_readers_up_to_the_default_bound(spark, sf, monkeypatch):
     """120 readers of a fact are paired, 121 are not."""
