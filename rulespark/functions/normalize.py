@@ -18,7 +18,12 @@ def safe_identifier(c: Column, prefix: str = "s_") -> Column:
 
 def entity_key(c: Column) -> Column:
     """SCREAMING_SNAKE of any text."""
-    return F.upper(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+    return F.upper(entity_key_parts(c))
+
+
+def entity_key_parts(c: Column) -> Column:
+    """Runs of anything but letters and digits as one _, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def camel_to_key(c: Column) -> Column:
