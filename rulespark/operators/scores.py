@@ -114,7 +114,7 @@ def parse_answer(reply: Column) -> Column:
     """struct(answer, confidence) out of a reply: the JSON object in it, an answer of 0 or 1, a confidence held within 0 and 100."""
     body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     a, c = F.trim(F.get_json_object(body, "$.answer")), F.get_json_object(body, "$.confidence").try_cast("double")
-    return F.struct(F.when(a.isin("0", "1"), a.cast("int")).alias("answer"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)).alias("confidence"))
+    return F.struct(F.when(a.isin("0", "1"), a.cast("int")).alias("answer"), F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))).alias("confidence"))
 
 
 def duration_text(seconds: Column) -> Column:

