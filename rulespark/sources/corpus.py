@@ -1,4 +1,4 @@
-"""Corpora and rule graphs as DataFrames, and sinks for results."""
+"""Corpora, rule graphs, checkpoints and logs as DataFrames."""
 
 from __future__ import annotations
 
@@ -45,4 +45,4 @@ def latest(spark: SparkSession, path: str, key: str = "key", order: str = "seq")
 def cost_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """[LLM_COST] log lines as columns; other lines are left out, broken ones are null."""
     kind = "model string, prompt_tokens long, completion_tokens long, total_tokens long, cached_tokens long, cost double"
-    return lines.where(F.startswith(F.col(col), F.lit("[LLM_COST]"))).select(F.from_json(F.trim(F.substring(col, 11, 1 << 20)), kind).alias("r")).select("r.*")
+    return lines.where(F.startswith(F.col(col), F.lit("[LLM_COST]"))).select(F.from_json(F.trim(F.substring(col, 11, 2147483647)), kind).alias("r")).select("r.*")
