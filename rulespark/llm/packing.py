@@ -3,10 +3,10 @@
 A piece of n tokens costs linear * n + quadratic * n * n (attention within a
 document).  Each task packs blocks of about `block_tokens` tokens: documents in
 descending order of cost go to the lowest-cost sequence that has token capacity
-left, whole where one of the few cheapest sequences has room for it and else cut
-there.  A block opens as many full windows as its tokens fill and splits the
-rest into powers of two, which need no padding, so that every sequence is filled
-exactly.  Nothing is shuffled; memory is one block.
+left for the whole of them; where none has, they are cut.  A block opens as many
+full windows as its tokens fill and splits the rest into powers of two, which need
+no padding, so that every sequence is filled exactly.  Nothing is shuffled; memory
+is one block.
 
 Null text: the end id alone.  Empty table: no pieces.  Repeated rows are packed
 as they come; ties in cost keep the order of the input.  A null id stays null.
@@ -15,7 +15,6 @@ Other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,6 @@ from pyspark.sql import functions as F
 from .bytewords import batches
 from .wordcache import WordIds
 
-LOOK = 8
-
-
 def capacities(tokens: int, window: int) -> list[int]:
     """Full windows, then the powers of two that make up the rest."""
     full, rest = divmod(tokens, window)
@@ -37,32 +33,25 @@ def capacities(tokens: int, window: int) -> list[int]:
 
 
 def pack_lengths(lengths: list[int], window: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece."""
-    left = capacities(sum(lengths), window)
-    used, out = [0] * len(left), []
-    heap = [(0.0, k) for k in range(len(left))]
+    """(document, start, length, sequence, offset) of each piece.
+
+    A document goes whole to the lowest-cost sequence that has room for it; only where none has is it cut, at the room of the lowest-cost one.
+    """
+    left = np.array(capacities(sum(lengths), window), dtype=np.int64)
+    cost, used, out = np.zeros(len(left)), [0] * len(left), []
     for doc in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         start, rest = 0, lengths[doc]
         while rest:
-            want, passed, pick = min(rest, window), [], None
-            while heap and len(passed) < LOOK:
-                top = heapq.heappop(heap)
-                if left[top[1]] >= want:
-                    pick = top
-                    break
-                passed.append(top)
-            if pick is None:
-                pick = passed.pop(0)
-            for x in passed:
-                heapq.heappush(heap, x)
-            cost, k = pick
-            n = min(want, left[k])
+            room = np.flatnonzero(left >= min(rest, window))
+            if not len(room):
+                room = np.flatnonzero(left)
+            k = int(room[cost[room].argmin()])
+            n = min(rest, window, int(left[k]))
             out.append((doc, start, n, k, used[k]))
             used[k] += n
             left[k] -= n
+            cost[k] += linear * n + quadratic * n * n
             start, rest = start + n, rest - n
-            if left[k]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, k))
     return out
 
 
