@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a side that may be broadcast.
+MOST_BROADCAST = 1 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df to be broadcast if it has `most` rows at most, as it is otherwise; give it a written table, for its rows are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .shared import bounded, cut
 
 
 
@@ -40,20 +42,28 @@ def page_ranges(entries: DataFrame, doc: str, order: str, page: str, last_page:
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Windows of at most `size` characters that snap back to the last space in their second half, each beginning `overlap` before the end of the one before; nothing is lost."""
-    span = "struct<start:int,end:int>"
+    """array<struct<start, end>>: windows of at most `size` characters that snap back to their last space, each beginning `overlap` before the end of the one before; nothing is lost.
+
+    One pass over a text in Arrow batches: a column expression would count characters from the start for each window.
+    """
     overlap = min(overlap, size // 2 - 1)
-    n = F.length(text)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
 
-    def step(s: Column, _: Column) -> Column:
-        hard = F.least(s["at"] + size, n)
-        back = F.locate(" ", F.reverse(F.substr(text, s["at"] + 1, F.lit(size))))
-        end = F.when(hard >= n, hard).when((back > 0) & (hard - back + 1 > s["at"] + overlap), hard - back + 1).otherwise(hard)
-        made = F.array(F.struct(s["at"].alias("start"), end.alias("end")))
-        return F.when(s["at"] >= n, s).otherwise(F.struct(F.when(end >= n, n).otherwise(end - overlap).cast("int").alias("at"), F.concat(s["out"], made).alias("out")))
+    def cut(t: str | None) -> list[tuple[int, int]]:
+        out, at, n = [], 0, len(t or "")
+        while at < n:
+            end = min(at + size, n)
+            if end < n:
+                space = t.rfind(" ", at, end) + 1
+                end = space if space > at + overlap else end
+            out.append((at, end))
+            at = n if end == n else end - overlap
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b} for a, b in cut(t)])
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.ceil(n / (size // 2 - overlap)).cast("int")), zero, step, lambda s: s["out"])).otherwise(F.array().cast(f"array<{span}>"))
+    return run(text)
 
 
 def packed_paragraphs(text: Column, size: int) -> Column:
@@ -69,6 +79,30 @@ def tokens(text: Column, least: int = 4) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= least))
 
 
+def rarest_anchors(passages: DataFrame, corpus: DataFrame, key: str, most: int = 32) -> DataFrame:
+    """(key, token): the words of each passage (key, token) that fewest documents of the corpus (token) hold, of equally rare ones the longest."""
+    vocabulary = bounded(cut(passages.select("token").distinct()))
+    df = corpus.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("df"))
+    w = W.partitionBy(key).orderBy("df", F.desc(F.length("token")), "token")
+    return passages.join(df, "token").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(key, "token")
+
+
+def anchor_hits(anchors: DataFrame, corpus: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, doc, n, hits): how many anchors each document (doc, n, token) has in common with each passage.
+
+    Up to a bound the anchors go to the documents, so a document's hits are counted where it is read.
+    """
+    return corpus.join(bounded(cut(anchors)), "token").groupBy(key, doc).agg(F.first("n").alias("n"), F.count("*").alias("hits"))
+
+
+def recovered(hits: DataFrame, sizes: DataFrame, key: str, doc: str, least: float = 0.55, margin: float = 0.12) -> DataFrame:
+    """(key, doc, overlap): the document that holds most of a passage's anchors, if it holds enough and is clearly ahead of the next."""
+    x = hits.join(sizes, key).withColumn("s", F.col("hits") / F.col("anchors"))
+    w = W.partitionBy(key).orderBy(F.desc("s"), doc)
+    x = x.withColumns({"r": F.row_number().over(w), "runner": F.lead("s").over(w)})
+    return x.where((F.col("r") == 1) & (F.col("s") >= least) & (F.col("s") - F.coalesce("runner", F.lit(0.0)) >= margin)).select(key, doc, F.col("s").alias("overlap"))
+
+
 def exact_span(text: Column, quote: Column) -> Column:
     """0-based [start, end) of a quote, or null."""
     at = F.position(quote, text)

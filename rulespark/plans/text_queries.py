@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import text as T
+from ..operators.shared import cut
 from .registry import query, table
 
 #: Documents have no headings, so the first line and every fifth after it become one; levels repeat 1, 2, 3, 2.
@@ -120,22 +121,24 @@ def rarest_anchors(spark, sf_dir):
 
 
 def token_rows(spark, sf_dir, name, key):
-    return table(spark, sf_dir, name).select(key, F.length("text").alias("n"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    """Lengths are taken before the words are exploded, so that no row of a word carries its text."""
+    x = table(spark, sf_dir, name).select(key, F.length("text").alias("n"), T.tokens(F.col("text")).alias("tokens"))
+    return x.select(key, "n", F.explode("tokens").alias("token"))
 
 
 def anchors(spark, sf_dir):
-    """The 32 rarest words of each item, of equally rare ones the longest."""
-    df = token_rows(spark, sf_dir, "documents", "doc_id").groupBy("token").agg(F.count("*").alias("df"))
-    b = token_rows(spark, sf_dir, "benchmark", "item_id").join(df, "token")
-    w = W.partitionBy("item_id").orderBy("df", F.desc(F.length("token")), "token")
-    return b.withColumn("r", F.row_number().over(w)).where("r <= 32").select("item_id", "token")
+    return T.rarest_anchors(token_rows(spark, sf_dir, "benchmark", "item_id").select("item_id", "token"), token_rows(spark, sf_dir, "documents", "doc_id").select("token"), "item_id")
+
+
+def hits(spark, sf_dir, a):
+    return T.anchor_hits(a, token_rows(spark, sf_dir, "documents", "doc_id"), "item_id", "doc_id")
 
 
 @query("evidence_topk", EVIDENCE + """, h AS (SELECT item_id, doc_id, any_value(n) AS n, count(*) AS score FROM a JOIN d USING (token) GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank FROM h WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)),
  c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k WHERE rank <= 12)
  SELECT item_id, doc_id, rank::INTEGER AS rank, score, least(n, 12000 - before)::INTEGER AS taken FROM c WHERE 12000 - before > 0 AND n > 0""")
 def evidence_topk(spark, sf_dir):
-    h = anchors(spark, sf_dir).join(token_rows(spark, sf_dir, "documents", "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.first("n").alias("n"), F.count("*").alias("hits"))
+    h = hits(spark, sf_dir, anchors(spark, sf_dir))
     return T.top_evidence(h, "item_id", F.col("hits"), "doc_id", F.col("n")).select("item_id", "doc_id", "rank", "score", "taken")
 
 
@@ -143,12 +146,9 @@ def evidence_topk(spark, sf_dir):
  SELECT item_id, doc_id, round(s, 4) AS overlap FROM k WHERE r = 1 AND s >= 0.55 AND s - coalesce(runner, 0) >= 0.12""")
 def source_recovery(spark, sf_dir):
     """The document that holds an item's anchors, if it is clearly ahead of the next."""
-    a = anchors(spark, sf_dir)
-    size = a.groupBy("item_id").agg(F.count("*").alias("na"))
-    h = a.join(token_rows(spark, sf_dir, "documents", "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("m")).join(size, "item_id").withColumn("s", F.col("m") / F.col("na"))
-    w = W.partitionBy("item_id").orderBy(F.desc("s"), "doc_id")
-    x = h.withColumns({"r": F.row_number().over(w), "runner": F.lead("s").over(w)})
-    return x.where((F.col("r") == 1) & (F.col("s") >= 0.55) & (F.col("s") - F.coalesce("runner", F.lit(0.0)) >= 0.12)).select("item_id", "doc_id", F.round("s", 4).alias("overlap"))
+    a = cut(anchors(spark, sf_dir))
+    x = T.recovered(hits(spark, sf_dir, a), a.groupBy("item_id").agg(F.count("*").alias("anchors")), "item_id", "doc_id")
+    return x.withColumn("overlap", F.round("overlap", 4))
 
 
 #: Quotes: 60 characters from the middle of every document; every third is changed in its middle words.
