@@ -27,14 +27,30 @@ def test_query_against_brute_force(spark, sf):
         by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
     by = {k: [x[1:] for x in sorted(v)] for k, v in by.items()}
     rows = p.query(spark, sf).collect()
-    ids = [i for r in rows for i in (r.chosen_id, r.rejected_id) if i is not None]
-    assert sorted(ids) == sorted(by)
+    answered = [k for k in sorted(by) if any(r == "assistant" for r, _ in by[k])]
+    nexts = dict(zip(answered, answered[1:] + answered[:1]))
+    assert {r.chosen_id: r.rejected_id for r in rows if r.kind == "answer"} == nexts
+    last = lambda i: max(k for k, (r, _) in enumerate(by[i]) if r == "assistant")
     for r in rows:
-        k, prompt, chosen, cm, rejected, rm = brute(by[r.chosen_id], by.get(r.rejected_id, []))
+        other = by[r.rejected_id]
+        if r.kind == "answer":
+            at, answer = last(r.chosen_id), other[last(r.rejected_id)]
+            other = [*by[r.chosen_id][:at], answer, *by[r.chosen_id][at + 1 :]]
+            assert r.prompt or at == 0
+        else:
+            assert by[r.chosen_id][0] == other[0]
+        k, prompt, chosen, cm, rejected, rm = brute(by[r.chosen_id], other)
         line = lambda m: ",".join(f"{a}-{b}" for a, b in m)
         assert (r.n_common, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) == (k, prompt, chosen, line(cm), rejected, line(rm))
-        if r.rejected_id is not None:
-            assert by[r.chosen_id][0] == by[r.rejected_id][0]
+
+
+def test_other_answers(spark):
+    rows = [(i, t, r, f"{i}-{t}") for i in (3, 1, 7) for t, r in enumerate(("user", "assistant", "user"))] + [(5, 0, "user", "no answer")]
+    convs = p.conversations(spark.createDataFrame([(*r, "") for r in rows], SCHEMA))
+    for most in (1, 2, 100):
+        got = {r.chosen_id: (r.rejected_id, [t.text for t in r.r]) for r in p.other_answers(convs, most).collect()}
+        assert got == {1: (3, ["1-0", "3-1", "1-2"]), 3: (7, ["3-0", "7-1", "3-2"]), 7: (1, ["7-0", "1-1", "7-2"])}
+    assert p.other_answers(convs.where("conv_id in (1, 5)")).count() == 0 and p.other_answers(convs.limit(0)).count() == 0
 
 
 def test_cases(spark):
