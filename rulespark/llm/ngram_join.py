@@ -8,9 +8,10 @@ documents link when 100 * intersection >= percent * union.
    number at most, sort last, all others by hash.  Any order gives right results.
 2. Equal sets form a class.  Classes with the same prefix (the shingles one of
    which every linked set must share) and size form a group.
-3. Groups are listed under each shingle of their prefix.  Size, position and a
-   parity bitmap bound the intersection of a pair; only pairs within the bounds
-   are candidates.
+3. Groups are listed under each shingle of their prefix; the list of a shingle in
+   LONG_LIST documents or more is dealt by bands of sizes that can link.  Size,
+   position and a parity bitmap bound the intersection of a pair; only pairs within
+   the bounds are candidates.
 4. First each group is paired with one other in each list only, and the
    sets of their members are compared; then, in the lists that do not hang
    together yet, every pair is that does not and that bitmaps of n bits allow.  So
@@ -26,6 +27,7 @@ an id are one document with several texts.  Empty table: no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ from .components import components
 from .shared import dropped, written
 
 HOT_MOST, HOT_LEAST, HOT_BUFFER = 1 << 17, 24, 1 << 21
+#: Documents of a shingle whose list is dealt by size.
+LONG_LIST = 4096
 HOT_BIT = 1 << 62
 BLOOM_BITS = 23
 
@@ -63,8 +67,8 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """The most frequent shingles, rarest first; at most HOT_MOST."""
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The most frequent shingles, rarest first, at most HOT_MOST; and from which of them on a list is long."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -94,8 +98,9 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
     rows = counts.where(F.floor(F.log2("c") * 4) >= least).select("h", "c").toPandas() if least is not None else None
     counts.unpersist()
     if rows is None or not len(rows):
-        return np.zeros(0, U)
-    return rows.sort_values(["c", "h"])["h"].to_numpy().astype(U)
+        return np.zeros(0, U), 0
+    rows = rows.sort_values(["c", "h"])
+    return rows["h"].to_numpy().astype(U), int((rows["c"] < LONG_LIST).sum())
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -336,7 +341,8 @@ def verified(docs: DataFrame, pairs: DataFrame, wide: DataFrame, n: int, percent
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(signatures(docs, n, percent, frequent(docs, n)))
+    hot, long_from = frequent(docs, n)
+    sig = written(signatures(docs, n, percent, hot))
     real = sig.where("doc_id is not null and n > 0")
     shape = ["ph", "n", "p", "b0", "b1", "b2", "b3"]
     classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*shape, "w"))))
@@ -345,6 +351,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     sig = slim
     groups = classes.groupBy("ph", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("gm"), *(F.first(c).alias(c) for c in ("p", "b0", "b1", "b2", "b3")))
     listed = groups.select("gid", "n", "gm", "b0", "b1", "b2", "b3", F.posexplode("p").alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
+    # Sets that link are of one band of sizes or of neighbouring ones: a long list is dealt by bands, each set to its own and the one below.
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+    bands = F.when(F.col("tok") >= HOT_BIT + long_from, F.array(band, band - 1)).otherwise(F.array(F.lit(None).cast("long")))
+    listed = listed.withColumn("band", F.explode(bands)).withColumn("tok", F.when(F.col("band").isNotNull(), F.xxhash64("tok", "band")).otherwise(F.col("tok")))
     listed = listed.select(*LISTED).repartition("tok").sortWithinPartitions("tok", "n", "gid")
     kept = written(listed.mapInArrow(lambda rows: neighbours(rows, percent), ", ".join(f"{c} long" for c in (*LISTED, "other")) + ", pair boolean"))
     lists = kept.where("not pair").select(*LISTED)

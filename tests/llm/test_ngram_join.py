@@ -76,3 +76,11 @@ def test_cases(spark):
     none = ngram_join.join(spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string"), 3, 90).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in none} == {(None, 2, None), (1, 2, 1)}
     assert ngram_join.join(df.limit(0), 3, 90).count() == 0
+
+
+def test_long_lists_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    docs = near_copies(5, 60, 30, 4, 3) + [(2000 + k, " ".join(f"s{j}" for j in range(40 + k))) for k in range(40)]
+    for n, percent in ((3, 90), (5, 80), (3, 100)):
+        assert got(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), n, percent)) == brute(docs, n, percent)
