@@ -14,7 +14,7 @@ documents link when 100 * intersection >= percent * union.
    the bounds are candidates.
 4. First each group is paired with one other in each list only, and the
    sets of their members are compared; then, in the lists that do not hang
-   together yet, every pair is that does not and that bitmaps of n bits allow.  So
+   together yet, every pair is that does not and that larger bitmaps allow.  So
    a group of thousands of near copies is never expanded into all its pairs, and
    no link between components is missed.
 5. Components of the verified links give each document the smallest doc_id it
@@ -108,10 +108,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, a parity bitmap of 256 bits and one of n bits or more, 1,024 at least."""
+    """doc_id, n, hashes of the set and its prefix, the prefix in canonical order, parity bitmaps: one of 256 bits, w of n bits or more, f of as many as tell sets that have nothing in common."""
     sort = np.argsort(hot, kind="stable")
     held = docs.sparkSession.sparkContext.broadcast((hot[sort], sort.astype(U)))
-    names = ["doc_id", "n", "s1", "s2", "ph", "p", "b0", "b1", "b2", "b3", "w"]
+    names = ["doc_id", "n", "s1", "s2", "ph", "p", "b0", "b1", "b2", "b3", "w", "f"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = held.value
@@ -119,17 +119,20 @@ def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
             sets = shingles(buf, offs, n)
             size = np.array([len(x) for x in sets], dtype=np.int64)
             s, b = np.zeros((3, len(sets)), U), np.zeros((len(sets), 4), U)
-            prefixes, wide = [], []
+            prefixes, wide, short = [], [], []
             for d, x in enumerate(sets):
                 if not len(x):
                     prefixes.append(np.zeros(0, np.int64))
                     wide.append(b"")
+                    short.append(b"")
                     continue
                 m = mix(x)
                 s[0, d], s[1, d] = m.sum(), mix(m + U(1)).sum()
                 b[d] = np.packbits(np.bincount((m & U(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(U)
-                bits = max(1024, 1 << (len(x) - 1).bit_length())
-                wide.append(np.packbits(np.bincount((m & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes())
+                parity = lambda bits: np.packbits(np.bincount((m & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()  # noqa: B023, E731
+                wide.append(parity(max(256, 1 << (len(x) - 1).bit_length())))
+                # Two sets with nothing in common differ in half the bits: 4.8 bits for each shingle that may differ are plenty.
+                short.append(parity(max(256, 1 << int(4.8 * 2 * len(x) * (100 - percent) / (100 + percent)).bit_length())))
                 take = len(x) - int(needed(len(x), percent)) + 1
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
@@ -142,25 +145,32 @@ def signatures(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFr
                 prefixes.append(p.astype(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            cols = [batch.column(0).cast(pa.int64()), pa.array(size), *(pa.array(signed(x)) for x in s), lists, *(pa.array(signed(np.ascontiguousarray(b[:, k]))) for k in range(4)), pa.array(wide, pa.binary())]
+            cols = [batch.column(0).cast(pa.int64()), pa.array(size), *(pa.array(signed(x)) for x in s), lists, *(pa.array(signed(np.ascontiguousarray(b[:, k]))) for k in range(4)), pa.array(wide, pa.binary()), pa.array(short, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ph long, p array<long>, b0 long, b1 long, b2 long, b3 long, w binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ph long, p array<long>, b0 long, b1 long, b2 long, b3 long, w binary, f binary")
 
 
 def possible(x: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which listed pairs the bounds allow: by size, by position in the prefix, by bitmap."""
-    a, b = x["n"][i], x["n"][j]
-    least = -(-percent * (a + b) // (100 + percent))
-    ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    """Which listed pairs the bounds allow: by size, by position in the prefix, by bitmap where one set stands on either side."""
+    a, b_ = x["n"][i], x["n"][j]
+    least = -(-percent * (a + b_) // (100 + percent))
+    ok = 100 * np.minimum(a, b_) >= percent * np.maximum(a, b_)
     pi, pj = x["pos"][i], x["pos"][j]
-    ok &= np.minimum(pi, pj) + np.minimum(a - pi, b - pj) >= least
+    ok &= np.minimum(pi, pj) + np.minimum(a - pi, b_ - pj) >= least
     some = np.flatnonzero(ok & (x["gm"][i] == 1) & (x["gm"][j] == 1))
-    differ = sum(np.bitwise_count((x[k][i[some]] ^ x[k][j[some]]).view(U)).astype(np.int64) for k in ("b0", "b1", "b2", "b3"))
-    ok[some[differ > (a + b - 2 * least)[some]]] = False
+    for k in range(0, len(some), 1 << 14):
+        p = some[k : k + (1 << 14)]
+        if "f" in x:
+            off = differing(x["f"][i[p]].tolist(), x["f"][j[p]].tolist())
+        else:
+            off = sum(np.bitwise_count((x[b][i[p]] ^ x[b][j[p]]).view(U)).astype(np.int64) for b in ("b0", "b1", "b2", "b3"))
+        ok[p[off > (a + b_ - 2 * least)[p]]] = False
     return ok
 
 
+#: What the lists hold in the second pass: components, and the short bitmaps in place of those of 256 bits.
+OPEN = ("tok", "gid", "n", "gm", "pos", "comp", "mixed", "f")
 LISTED = ("tok", "gid", "n", "gm", "pos", "b0", "b1", "b2", "b3")
 
 
@@ -214,17 +224,6 @@ def neighbours(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(cols[k]) for k in LISTED] + [pa.array(other), pa.array(np.arange(len(other)) >= len(keep))], names=[*LISTED, "other", "pair"])
 
 
-def open_lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists whose groups do not all hang together yet (comp; mixed: a group whose members do not)."""
-    names = (*LISTED, "comp", "mixed")
-    for x, at in runs(rows, names):
-        size = np.diff(at)
-        many = np.add.reduceat((x["comp"] != np.repeat(x["comp"][at[:-1]], size)) | x["mixed"].astype(bool), at[:-1]) > 0
-        keep = np.flatnonzero(np.repeat(many & (size > 1), size))
-        if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k][keep]) for k in names], names=list(names))
-
-
 def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """In how many bits the parity bitmaps of each pair differ; the longer one folds onto the shorter one."""
     out = np.zeros(len(left), np.int64)
@@ -239,26 +238,18 @@ def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 
 def across(rows: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> Iterator[pa.RecordBatch]:
-    """All candidates of two groups that do not hang together yet; bitmaps of n bits must allow them where each stands for one set."""
-
-    def allowed(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = possible(x, i, j, percent)
-        some = np.flatnonzero(ok & (x["gm"][i] == 1) & (x["gm"][j] == 1))
-        for k in range(0, len(some), 1 << 13):
-            p = some[k : k + (1 << 13)]
-            a, b = x["n"][i[p]], x["n"][j[p]]
-            least = -(-percent * (a + b) // (100 + percent))
-            ok[p] = differing(x["w"][i[p]].tolist(), x["w"][j[p]].tolist()) <= a + b - 2 * least
-        return ok
+    """All candidates of two groups that do not hang together yet (comp; mixed: a group whose members do not)."""
 
     def pairs(found: list) -> pa.RecordBatch:
         got = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
-    for x, at in runs(rows, (*LISTED, "comp", "mixed", "w")):
+    for x, at in runs(rows, OPEN):
         found, held = [], 0
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             c, mixed = x["comp"][a:b], x["mixed"][a:b].astype(bool)
+            if b - a < 2 or ((c == c[0]).all() and not mixed.any()):
+                continue
             top = np.searchsorted(x["n"][a:b] * percent, x["n"][a:b] * 100, "right")
             for k in range(0, b - a, block):
                 i = np.arange(k, min(b - a, k + block))
@@ -266,7 +257,7 @@ def across(rows: Iterator[pa.RecordBatch], percent: int, block: int = 1024) -> I
                     j = np.arange(m, min(int(top[i[-1]]), m + block))
                     p, q = np.nonzero((i[:, None] < j[None, :]) & ((c[i][:, None] != c[j][None, :]) | mixed[i][:, None] | mixed[j][None, :]))
                     p, q = a + i[p], a + j[q]
-                    ok = allowed(x, p, q)
+                    ok = possible(x, p, q, percent)
                     found.append(np.stack([x["gid"][p[ok]], x["gid"][q[ok]]]))
                     held += int(ok.sum())
                     if held > 1 << 20:
@@ -345,7 +336,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     sig = written(signatures(docs, n, percent, hot))
     real = sig.where("doc_id is not null and n > 0")
     shape = ["ph", "n", "p", "b0", "b1", "b2", "b3"]
-    classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*shape, "w"))))
+    classes = written(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*shape, "w", "f"))))
     slim, fat = written(sig.select("doc_id", "n", "s1", "s2")), sig
     dropped(fat)
     sig = slim
@@ -357,37 +348,38 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     listed = listed.withColumn("band", F.explode(bands)).withColumn("tok", F.when(F.col("band").isNotNull(), F.xxhash64("tok", "band")).otherwise(F.col("tok")))
     listed = listed.select(*LISTED).repartition("tok").sortWithinPartitions("tok", "n", "gid")
     kept = written(listed.mapInArrow(lambda rows: neighbours(rows, percent), ", ".join(f"{c} long" for c in (*LISTED, "other")) + ", pair boolean"))
-    lists = kept.where("not pair").select(*LISTED)
+    lists = kept.where("not pair").select("tok", "gid", "n", "gm", "pos")
     # Members of the groups that have several: equal sizes differ in two shingles at least, so small sets never link there.
     slim, fat = written(classes.select("s1", "s2", "ph", "n", "cid", "m")), classes
-    wide = written(fat.select("cid", "n", "w"))
+    wide = written(fat.select("cid", "n", "w", "f"))
     dropped(fat)
     classes = slim
     several = classes.groupBy("ph", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("gm")).where("gm > 1")
     members = written(classes.select("ph", "n", "cid").join(several, ["ph", "n"]).select("gid", "cid", "n"))
     within = F.expr(f"100 * (n - 1) >= {percent} * (n + 1)")
     first = kept.where("pair").select(F.col("gid").alias("a"), F.col("other").alias("b")).unionByName(members.where(within).where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
-    links = verified(docs, first, wide, n, percent)
+    bitmaps = wide.drop("f")
+    links = verified(docs, first, bitmaps, n, percent)
     label = components(links, "a", "b")
     # What is left: pairs of groups, or members of one, in different components.
     placed = members.join(label, members["cid"] == label["node"], "left").select("gid", "cid", "n", F.coalesce("label", "cid").alias("comp"))
     state = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.col("lo").alias("gcomp"), (F.col("lo") != F.col("hi")).alias("gmixed"))
     state = label.select(F.col("node").alias("gid"), F.col("label").alias("gcomp"), F.lit(False).alias("gmixed")).join(state.select("gid"), "gid", "left_anti").unionByName(state)
     state = written(state)
-    rest = lists.join(state, "gid", "left").select(*LISTED, F.coalesce("gcomp", "gid").alias("comp"), F.coalesce("gmixed", F.lit(False)).alias("mixed"))
+    # Lists meet components and bitmaps by group, where both are dealt alike, and are dealt by shingle once.
+    short = wide.select(F.col("cid").alias("gid"), "f")
+    rest = lists.join(state, "gid", "left").join(short, "gid").select("tok", "gid", "n", "gm", "pos", F.coalesce("gcomp", "gid").alias("comp"), F.coalesce("gmixed", F.lit(False)).alias("mixed"), "f")
     rest = rest.repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    rest = written(rest.mapInArrow(open_lists, ", ".join(f"{c} long" for c in (*LISTED, "comp")) + ", mixed boolean"))
-    mapped = rest.join(wide.select(F.col("cid").alias("gid"), "w"), "gid").select(*LISTED, "comp", "mixed", "w").repartition("tok").sortWithinPartitions("tok", "n", "gid")
-    second = written(mapped.mapInArrow(lambda rows: across(rows, percent), "a long, b long").distinct())
+    second = written(rest.mapInArrow(lambda rows: across(rows, percent), "a long, b long").distinct())
     own = placed.where(within)
     inside = own.join(own.toDF("gid", "cid2", "n2", "comp2"), "gid").where("cid < cid2 and comp <> comp2").select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
     side = lambda c: placed.select(F.col("gid").alias(c), F.col("cid").alias(f"{c}_cid"))
     outside = second.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_cid", "a").alias("a"), F.coalesce("b_cid", "b").alias("b"))
     more = written(inside.unionByName(outside).distinct())
     if more.limit(1).count():
-        links = links.unionByName(verified(docs, more, wide, n, percent))
+        links = links.unionByName(verified(docs, more, bitmaps, n, percent))
         label = components(links, "a", "b")
-    for t in (kept, rest, members, second, more, wide, state):
+    for t in (kept, members, second, more, wide, state):
         dropped(t)
     # A class of very many copies is joined by salted rows; there are 1,000 of them at most.
     total = sig.count()
