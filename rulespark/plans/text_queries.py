@@ -74,9 +74,9 @@ def paragraph_chunks(spark, sf_dir):
 @query("table_chunks", """WITH x AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS rn, concat_ws(' | ', 's_name: ' || s_name, CASE WHEN s_suppkey % 4 <> 0 THEN 's_acctbal: ' || s_acctbal::INTEGER END) AS line FROM supplier)
  SELECT s_nationkey, (rn // 3)::INTEGER AS chunk, 'Columns: s_name, s_acctbal' || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS content, min(rn)::INTEGER AS row_start, max(rn)::INTEGER AS row_end FROM x GROUP BY ALL""")
 def table_chunks(spark, sf_dir):
-    """Rows of a table as chunks of three lines "column: value", nulls left out."""
+    """Rows of a table as chunks of three lines "column: value", nulls left out; halves go to the even number, as in SQL."""
     s = table(spark, sf_dir, "supplier").withColumn("rn", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
-    bal = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("s_acctbal: "), F.round("s_acctbal").cast("int").cast("string")))
+    bal = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("s_acctbal: "), F.rint("s_acctbal").cast("int").cast("string")))
     x = s.select("s_nationkey", "rn", F.floor(F.col("rn") / 3).cast("int").alias("chunk"), F.concat_ws(" | ", F.concat(F.lit("s_name: "), "s_name"), bal).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda r: r["line"]), "\n")
     return x.groupBy("s_nationkey", "chunk").agg(F.concat(F.lit("Columns: s_name, s_acctbal\n"), body).alias("content"), F.min("rn").alias("row_start"), F.max("rn").alias("row_end"))
