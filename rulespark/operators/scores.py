@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -237,12 +238,37 @@ def top_concepts(concepts: DataFrame, most: int = 8) -> DataFrame:
     return concepts.orderBy(F.desc("rule_links"), F.desc("fact_links"), F.lower("term"), "term").limit(most)
 
 
-def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact p of a 2 x 2 table: all tables with the same margins that are no likelier than it."""
+def fisher_exact(a: int, b: int, c: int, d: int, block: int = 1 << 12) -> float:
+    """Two-sided exact p of a 2 x 2 table: all tables with the same margins that are no likelier than it.
+
+    Likelihoods relative to the likeliest table, by their ratios from one table to the next, up to where they are zero
+    as doubles: some 40 standard deviations each way, so the work grows with the root of the counts.
+    """
     n, row, col = a + b + c + d, a + b, a + c
-    likely = lambda x: math.comb(row, x) * math.comb(n - row, col - x) / math.comb(n, col)
-    seen = likely(a)
-    return min(1.0, sum(p for p in map(likely, range(max(0, col - (n - row)), min(row, col) + 1)) if p <= seen * (1 + 1e-9)))
+    least, most = max(0, col - (n - row)), min(row, col)
+    mode = min(most, max(least, (row + 1) * (col + 1) // (n + 2)))
+
+    def walk(step: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first x, likelihoods of x, x + step, ...) from the table beside the mode outwards."""
+        x, last, end = mode, 1.0, most if step > 0 else least
+        while x != end and last > 0:
+            k = x + step * np.arange(min(block, abs(end - x)), dtype=np.float64)
+            ratio = (row - k) / (k + 1) * ((col - k) / (n - row - col + k + 1)) if step > 0 else k / (row - k + 1) * ((n - row - col + k) / (col - k + 1))
+            p = last * np.cumprod(ratio)
+            yield x + step, p
+            x, last = x + step * len(p), p[-1]
+
+    seen = float(a == mode)
+    for x, p in walk(1 if a > mode else -1):
+        if 0 <= (a - x) * (1 if a > mode else -1) < len(p):
+            seen = float(p[abs(a - x)])
+            break
+    total, tail = [1.0], [float(seen * (1 + 1e-9) >= 1)]
+    for step in (1, -1):
+        for _, p in walk(step):
+            total.append(float(p.sum()))
+            tail.append(float(p[p <= seen * (1 + 1e-9)].sum()))
+    return min(1.0, math.fsum(tail) / math.fsum(total))
 
 
 def fisher(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:

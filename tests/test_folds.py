@@ -17,6 +17,33 @@ def test_fisher(table, p):
     assert S.fisher_exact(*table) == pytest.approx(p, rel=5e-3)
 
 
+def test_fisher_against_binomials():
+    """Every small table, and some of thousands, by the definition."""
+    import itertools
+    import math
+
+    def plain(a, b, c, d):
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = [math.comb(row, x) * math.comb(n - row, col - x) for x in range(max(0, col - (n - row)), min(row, col) + 1)]
+        seen = math.comb(row, a) * math.comb(n - row, col - a)
+        return sum(w for w in ways if w <= seen) / math.comb(n, col)
+
+    for t in [*itertools.product(range(6), repeat=4), (0, 40, 300, 2), (900, 1100, 1000, 1000), (1000, 1000, 1001, 1001), (17, 5003, 40, 4000), (2000, 10, 5, 3000)]:
+        assert S.fisher_exact(*t) == pytest.approx(plain(*t), rel=1e-9, abs=1e-300)
+
+
+def test_fisher_of_large_tables():
+    """Work grows with the root of the counts; a table and its mirror images have the same p."""
+    import time
+
+    start = time.time()
+    got = [S.fisher_exact(*t) for t in ((400_000, 100_000, 79_900, 20_100), (79_900, 20_100, 400_000, 100_000), (100_000, 400_000, 20_100, 79_900))]
+    assert got == pytest.approx([got[0]] * 3, rel=1e-8) and 0.4 < got[0] < 0.5
+    assert S.fisher_exact(300_000_000, 300_000_000, 300_000_000, 300_000_000) == 1
+    assert S.fisher_exact(10**6, 0, 0, 10**6) == 0
+    assert time.time() - start < 10
+
+
 def test_fisher_query(spark):
     rows = Q["fisher_exact"](spark, "/root/testdata/sf0.01").collect()
     assert rows and all(r.p_value == pytest.approx(S.fisher_exact(r.n00, r.n01, r.n10, r.n11), abs=1e-7) for r in rows)
