@@ -8,11 +8,15 @@ proper probability.  Texts are read in windows of `window` ids that overlap; eac
 id is scored once, by the window that shows it at least `window - stride` earlier
 ids (or all there are), many windows at a time.
 
-The weights are trained in numpy by backpropagation on about `most_windows`
-windows, chosen by a hash out of all windows of all training texts.  Counts of
-words, of ids and of all pairs of ids cover all training texts; pairs are counted
-by what the model tells apart, the class of the first id and the symbol of the
-second.  A text is cut into ids once; the ids are written out, counted and scored.
+The weights are trained in numpy by backpropagation on all windows of all training
+texts.  Up to `most_windows` of them are gone through on the driver.  Of more, about
+that many, chosen by a hash, give the weights a start; from there each task makes one
+pass over every window of its texts, and the mean of the tasks' weights is taken, so
+the weights depend (little) on how the texts are dealt over tasks.  The table for the
+last id is not trained: it is made of the counts.  Counts of words, of ids and of all
+pairs of ids cover all training texts; pairs are counted by what the model tells
+apart, the class of the first id and the symbol of the second.  A text is cut into
+ids once; the ids are written out, counted, learned from and scored.
 
 The base score is that of smoothed word counts.  The most frequent words (at
 most HEAD) are broadcast with their counts; the rest are looked up by a join.
@@ -23,7 +27,8 @@ texts.  Repeated rows get equal scores.  Empty table: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +72,28 @@ def inputs_of(inp: np.ndarray, start: int, ids: np.ndarray, first: np.ndarray) -
     return x
 
 
+def products(a: np.ndarray, b: np.ndarray, rows: int = 384) -> np.ndarray:
+    """a.T @ b of long narrow arrays, in blocks of rows, which BLAS does faster."""
+    n = len(a) // rows * rows
+    out = a[n:].T @ b[n:]
+    if n:
+        out += (a[:n].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, rows, b.shape[1])).sum(axis=0)
+    return out
+
+
+class Adam:
+    def __init__(self, w: dict):
+        self.w, self.steps = w, 0
+        self.m, self.v = ({k: np.zeros_like(t) for k, t in w.items()} for _ in range(2))
+
+    def step(self, g: dict, rate: float) -> None:
+        self.steps += 1
+        for k, t in g.items():
+            self.m[k] += 0.1 * (t - self.m[k])
+            self.v[k] += 0.02 * (t * t - self.v[k])
+            self.w[k] -= np.float32(rate / (1 - 0.9**self.steps)) * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.98**self.steps)) + np.float32(1e-7))
+
+
 class AttentionLM:
     def __init__(self, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | np.ndarray, end_id: int, groups: int = GROUPS, outputs: int = OUTPUTS, inputs: int = INPUTS, dim: int = 16, window: int = 24, stride: int = 16, seed: int = 9):
         """pairs: ids (-1: the start of a text), the ids after them and how often; or the table of input classes and symbols."""
@@ -98,51 +125,80 @@ class AttentionLM:
         prior = (by_group + 30 * load / load.sum()) / (by_group.sum(axis=1, keepdims=True) + 30)
         r = np.random.default_rng(seed)
         make = lambda *s: (r.standard_normal(s) / np.sqrt(dim)).astype(np.float32)
-        self.w = {"emb": make(self.start + 1, dim), "pos": make(window, dim) * 0.3, "q": make(dim, dim), "k": make(dim, dim), "v": make(dim, dim), "o": make(dim, dim) * 0.5, "out": make(dim, groups) * 0.3, "bias": np.zeros(groups, np.float32), "last": np.log(prior).astype(np.float32)}
-        self.hide = np.triu(np.full((window, window), -1e9, np.float32), 1)
+        self.w = {"emb": make(self.start + 1, dim), "pos": make(window, dim) * 0.3, "q": make(dim, dim), "k": make(dim, dim), "v": make(dim, dim), "o": make(dim, dim) * 0.5, "out": make(dim, groups) * 0.3, "bias": np.zeros(groups, np.float32)}
+        self.last = np.log(prior).astype(np.float32)
+        self.show = np.tril(np.ones((window, window), np.float32))
+        self.scale = np.float32(dim**-0.5)
 
-    def logits(self, x: np.ndarray, seen: int, keep: list | None = None) -> np.ndarray:
-        """For windows of inputs x, the class logits at the positions from `seen` on."""
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """What inputs and positions add to queries, keys and values and to logits, and the way from attended values to logits: `logits` without products of its own for them."""
         w = self.w
-        h = w["emb"][x] + w["pos"]
-        q, k, v = h[:, seen:] @ w["q"], h @ w["k"], h @ w["v"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(self.dim**-0.5)
-        a = np.exp(np.clip(s, -MOST_LOGIT, MOST_LOGIT, out=s) + self.hide[seen:])
-        a /= a.sum(axis=2, keepdims=True)
+        qkv = np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1)
+        return w["emb"] @ qkv, w["pos"] @ qkv, self.last + w["bias"] + w["emb"] @ w["out"], w["pos"] @ w["out"], w["o"] @ w["out"]
+
+    def logits(self, x: np.ndarray, seen: int, keep: list | None = None, tables: tuple | None = None) -> np.ndarray:
+        """For windows of inputs x, the class logits at the positions from `seen` on."""
+        w, d = self.w, self.dim
+        b, t = x.shape
+        # Slices of one array stand for queries, keys and values.
+        if tables:
+            qkv = tables[0].take(x, axis=0)
+            qkv += tables[1]
+        else:
+            h = w["emb"].take(x, axis=0)
+            h += w["pos"]
+            qkv = (h.reshape(-1, d) @ np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1)).reshape(b, t, 3 * d)
+        q, k, v = qkv[:, seen:, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -MOST_LOGIT, MOST_LOGIT, out=a)
+        np.exp(a, out=a)
+        a *= self.show[seen:]
+        a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(b, t - seen, 1)
         m = a @ v
-        r = h[:, seen:] + m @ w["o"]
+        if tables:
+            z = (m.reshape(-1, d) @ tables[4]).reshape(b, t - seen, -1)
+            z += tables[3][seen:]
+            z += tables[2].take(x[:, seen:], axis=0)
+            return np.clip(z, -MOST_LOGIT, MOST_LOGIT, out=z)
+        r = np.ones((b, t - seen, d + 1), h.dtype)
+        np.add(h[:, seen:], (m.reshape(-1, d) @ w["o"]).reshape(m.shape), out=r[:, :, :d])
         if keep is not None:
             keep += [h, q, k, v, a, m, r]
-        z = r @ w["out"] + w["bias"] + w["last"][x[:, seen:]]
+        z = (r.reshape(-1, d + 1) @ np.concatenate([w["out"], w["bias"][None]])).reshape(b, t - seen, -1)
+        z += self.last.take(x[:, seen:], axis=0)
         return np.clip(z, -MOST_LOGIT, MOST_LOGIT, out=z)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
         """Mean loss over the masked positions and its gradient."""
-        w, kept = self.w, []
-        z = self.logits(x, 0, kept)
+        w, d, kept = self.w, self.dim, []
+        p = self.logits(x, 0, kept)
         h, q, k, v, a, m, r = kept
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        i, j = np.indices(y.shape)
-        share = (mask / max(1, mask.sum())).astype(np.float32)
-        loss = -float((np.log(p[i, j, y] + 1e-12) * share).sum())
-        dz = p
-        dz[i, j, y] -= 1
-        dz *= share[:, :, None]
         flat = lambda t: t.reshape(-1, t.shape[2])
-        g = {"out": flat(r).T @ flat(dz), "bias": dz.sum(axis=(0, 1)), "last": np.zeros_like(w["last"])}
-        np.add.at(g["last"], x.ravel(), flat(dz))
+        share = (mask / max(1, mask.sum())).astype(p.dtype)
+        told = np.arange(y.size) * p.shape[2] + y.ravel()
+        own = p.ravel()[told]
+        total = (flat(np.exp(p, out=p)) @ np.ones(p.shape[2], p.dtype)).reshape(y.shape)
+        loss = float(((np.log(total) - own.reshape(y.shape)) * share).sum())
+        p *= (share / total)[:, :, None]
+        p.ravel()[told] -= share.ravel()
+        dz = flat(p)
+        out = products(flat(r), dz)
+        g = {"out": out[:-1], "bias": out[-1]}
         dr = dz @ w["out"].T
-        g["o"] = flat(m).T @ flat(dr)
-        dm = dr @ w["o"].T
-        dv, da = a.transpose(0, 2, 1) @ dm, dm @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(self.dim**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"q": flat(h).T @ flat(dq), "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv)}
-        dh = dr + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["pos"] = dh.sum(axis=0)
-        g["emb"] = np.zeros_like(w["emb"])
-        np.add.at(g["emb"], x.ravel(), flat(dh))
+        g["o"] = products(flat(m), dr)
+        dm = (dr @ w["o"].T).reshape(m.shape)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= np.einsum("btd,btd->bt", dm, m)[:, :, None]
+        ds *= a
+        dqkv = np.empty((*x.shape, 3 * d), h.dtype)
+        dqkv[:, :, :d] = ds @ k
+        dqkv[:, :, d : 2 * d] = ds.transpose(0, 2, 1) @ q
+        dqkv[:, :, 2 * d :] = a.transpose(0, 2, 1) @ dm
+        g["q"], g["k"], g["v"] = np.split(products(flat(h), flat(dqkv)), 3, axis=1)
+        g["q"] = g["q"] * self.scale
+        dh = dr + flat(dqkv) @ np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1).T
+        g["pos"] = dh.reshape(h.shape).sum(axis=0)
+        g["emb"] = np.bincount((x.reshape(-1, 1) * d + np.arange(d)).ravel(), dh.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(h.dtype)
         return loss, g
 
     def inputs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -155,34 +211,47 @@ class AttentionLM:
         return np.repeat(first[:-1], n) + k * self.stride, np.repeat(first[1:], n)
 
     def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 700, batch: int = 192, rate: float = 0.01, seed: int = 4) -> AttentionLM:
-        """Adam on random windows: inputs, classes to tell, and which positions count."""
-        r = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(t) for k, t in self.w.items()} for _ in range(2))
+        """Adam on windows in random order, all of them once before any again and each once at least: inputs, classes to tell, and which positions count."""
+        r, adam = np.random.default_rng(seed), Adam(self.w)
+        steps = max(steps, -(-len(x) // batch))
+        order = np.concatenate([r.permutation(len(x)) for _ in range(-(-steps * batch // len(x)))])
         for step in range(1, steps + 1):
-            pick = r.integers(0, len(x), batch)
-            _, g = self.gradient(x[pick], y[pick], mask[pick])
-            lr = rate * min(1, step / 30) * (1 - step / (steps + 1))
-            for k, t in g.items():
-                m[k] += 0.1 * (t - m[k])
-                v[k] += 0.02 * (t * t - v[k])
-                self.w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.98**step)) + 1e-7)
+            pick = order[(step - 1) * batch : step * batch]
+            adam.step(self.gradient(x[pick], y[pick], mask[pick])[1], rate * min(1, step / 30) * (1 - step / (steps + 1)))
         return self
 
-    def score(self, ids: np.ndarray, first: np.ndarray, block: int = 384) -> np.ndarray:
+    def go_on(self, parts: Iterable[tuple[np.ndarray, np.ndarray]], batch: int = 192, rate: float = 0.004, seed: int = 6) -> int:
+        """One pass over all windows of the texts in parts (ids, first), each id told once; the number of windows."""
+        r, adam, done = np.random.default_rng(seed), Adam(self.w), 0
+        for ids, first in parts:
+            x, y = self.inputs(ids, first), self.cls[ids]
+            n = -(-np.diff(first) // self.window)
+            starts = np.repeat(first[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * self.window
+            ends, order = np.repeat(first[1:], n), r.permutation(len(starts))
+            done += len(order)
+            for k in np.array_split(order, -(-len(order) // batch)) if len(order) else []:
+                at = starts[k][:, None] + np.arange(self.window)
+                mask = at < ends[k][:, None]
+                np.minimum(at, (ends[k] - 1)[:, None], out=at)
+                adam.step(self.gradient(x[at], y[at], mask)[1], rate * min(1, (adam.steps + 1) / 30) / np.sqrt(1 + adam.steps / 100))
+        return done
+
+    def score(self, ids: np.ndarray, first: np.ndarray, block: int = 128) -> np.ndarray:
         """log10 probability of each text (each ends with the end id)."""
         x, y = self.inputs(ids, first), self.cls[ids]
         starts, ends = self.windows(first)
         is_first = np.isin(starts, first[:-1])
-        each = np.zeros(len(ids), np.float32)
+        each, tables = np.zeros(len(ids), np.float32), self.tables()
         for seen, chosen in ((0, np.flatnonzero(is_first)), (self.window - self.stride, np.flatnonzero(~is_first))):
             for a in range(0, len(chosen), block):
                 k = chosen[a : a + block]
                 at = np.minimum(starts[k][:, None] + np.arange(self.window), (ends[k] - 1)[:, None])
-                z = self.logits(x[at], seen)
+                z = self.logits(x[at], seen, tables=tables)
                 live = starts[k][:, None] + np.arange(seen, self.window) < ends[k][:, None]
-                at = at[:, seen:][live]
-                z = z[live]
-                each[at] = z[np.arange(len(at)), y[at]] - np.log(np.exp(z).sum(axis=1))
+                at = at[:, seen:]
+                own = z.ravel()[np.arange(at.size) * z.shape[2] + y[at].ravel()].reshape(at.shape)
+                own -= np.log(np.exp(z, out=z).reshape(-1, z.shape[2]) @ np.ones(z.shape[2], z.dtype)).reshape(at.shape)
+                each[at[live]] = own[live]
         each += self.share[x, self.symbol[ids]] + self.within[ids]
         total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
         return (total[first[1:]] - total[first[:-1]]) / np.log(10)
@@ -330,8 +399,8 @@ def pair_counts(read: DataFrame, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled(read: DataFrame, model: AttentionLM, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, classes and mask of about `most` windows at most, chosen by a hash out of all windows of all training texts."""
+def start_windows(read: DataFrame, model: AttentionLM, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Inputs, classes and mask of the windows that weights start from, and whether these are all: of more than `most`, about that many, chosen by a hash."""
     window, stride = model.window, model.stride
     n = F.octet_length("ids") / ID.itemsize
     total = read.where("train").agg(F.sum(1 + F.greatest(F.lit(0), F.ceil((n - window) / stride)))).first()[0] or 0
@@ -351,7 +420,40 @@ def sampled(read: DataFrame, model: AttentionLM, most: int) -> tuple[np.ndarray,
     got = read.where("train").select("ids", F.xxhash64("i", "ids").alias("k")).mapInArrow(run, "w binary").select("w", F.xxhash64("w").alias("h")).orderBy("h", "w").limit(2 * most).toPandas()
     w = np.frombuffer(b"".join(got["w"]), "<i4").reshape(len(got), window + 1)
     x = np.where(w[:, :-1] < 0, model.start, model.inp[w[:, :-1]])
-    return x, model.cls[w[:, 1:]], w[:, 1:] >= 0
+    return x, model.cls[w[:, 1:]], w[:, 1:] >= 0, share == 1.0
+
+
+def learn_all(read: DataFrame, model: AttentionLM, parts: int = 8) -> None:
+    """Weights that have gone once over every window of every training text: each task goes on from the model's over its own texts, and the mean by windows is taken.
+
+    One model leaves each task; `parts` tasks add them up, and the driver gets one.
+    """
+    held, names = read.sparkSession.sparkContext.broadcast(model), sorted(model.w)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = copy.copy(held.value)
+        net.w = {k: t.copy() for k, t in net.w.items()}
+        n = net.go_on((ids, first) for _, ids, first in id_batches(rows))
+        if n:
+            flat = np.concatenate([net.w[k].ravel() for k in names]).astype("<f8") * n
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([n] * parts), pa.array([x.tobytes() for x in np.array_split(flat, parts)], pa.binary())], names=["k", "n", "w"])
+
+    def added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, tuple[int, np.ndarray]] = {}
+        for b in rows:
+            for k, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m, t = out.get(k, (0, 0.0))
+                out[k] = m + n, t + np.frombuffer(w, "<f8")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([m for m, _ in out.values()]), pa.array([t.tobytes() for _, t in out.values()], pa.binary())], names=["k", "n", "w"])
+
+    schema = "k long, n long, w binary"
+    got = sorted(read.where("train").select("ids").mapInArrow(run, schema).repartition(parts, "k").mapInArrow(added, schema).collect(), key=lambda r: r["k"])
+    at, flat = 0, np.concatenate([np.frombuffer(r["w"], "<f8") / r["n"] for r in got])
+    for k in names:
+        t = model.w[k]
+        model.w[k] = flat[at : at + t.size].reshape(t.shape).astype(np.float32)
+        at += t.size
 
 
 def score(docs: DataFrame, tokenizer: str, held_out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407, size: int = 49408, most_windows: int = 1 << 16, steps: int = 700) -> DataFrame:
@@ -374,9 +476,11 @@ def score(docs: DataFrame, tokenizer: str, held_out: str, id_col: str = "doc_id"
     read = written(read_ids(docs, tokenizer, end_id, keys[order], known[order]))
     ids = id_counts(read, size)
     model = AttentionLM(ids, pair_counts(read, ids), end_id)
-    x, y, mask = sampled(read, model, most_windows)
+    x, y, mask, are_all = start_windows(read, model, most_windows)
     if len(x):
         model.fit(x, y, mask, steps)
+    if not are_all:
+        learn_all(read, model)
     held = spark.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

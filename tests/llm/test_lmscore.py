@@ -129,3 +129,45 @@ def test_pairs_are_counted_in_all_texts(spark, monkeypatch):
     assert isinstance(pairs, np.ndarray)
     at = np.nonzero(pairs)
     assert dict(zip(zip(*(x.tolist() for x in at), strict=True), pairs[at].tolist(), strict=True)) == want
+
+
+def test_weights_come_from_every_window(spark, monkeypatch):
+    """Of more windows than the start takes, each id of each training text is told once more, whatever its task; the mean by windows is what texts are scored with."""
+    docs = [(k, t) for k, t in enumerate(["red fish, blue fish", "", None, "Unquestionably né", "one two three " * 3000, *[f"word{k} follows word{k % 7}" for k in range(60)]])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept, learn = [], lmscore.learn_all
+
+    def spied(read, model):
+        before = {k: t.copy() for k, t in model.w.items()}
+        learn(read, model)
+        kept.append((read, before, model))
+
+    monkeypatch.setattr(lmscore, "learn_all", spied)
+    lmscore.score(df, PATH, HELD, most_windows=2, steps=1)
+    (read, before, model), = kept
+    parts = read.where("train").select("ids").rdd.mapPartitions(lambda rows: [[bytes(r["ids"]) for r in rows]]).collect()
+    assert sum(map(len, parts)) == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs)
+    total, windows = {k: 0.0 for k in before}, 0
+    for texts in parts:
+        net = lmscore.copy.copy(model)
+        net.w = {k: t.copy() for k, t in before.items()}
+        told, make = [], net.gradient
+        net.gradient = lambda x, y, mask: told.append(int(mask.sum())) or make(x, y, mask)
+        lengths = [len(t) // 2 for t in texts]
+        n = net.go_on([(np.frombuffer(b"".join(texts), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))])
+        assert sum(told) == sum(lengths) and n == sum(-(-k // net.window) for k in lengths)
+        windows += n
+        total = {k: total[k] + net.w[k].astype(float) * n for k in total}
+    assert windows > 2 and all(np.allclose(model.w[k], total[k] / windows, atol=1e-5) for k in total)
+    assert any(not np.allclose(model.w[k], before[k]) for k in before)
+
+
+def test_few_windows_are_all_gone_through():
+    """No window is left out by chance where the driver takes them all."""
+    net, r, seen = small(), np.random.default_rng(5), []
+    x = np.tile(np.arange(500)[:, None] % 7, 6)
+    make = net.gradient
+    net.gradient = lambda a, b, mask: seen.append(b[:, 0]) or make(a, b % net.classes, mask)
+    y = np.tile(np.arange(500)[:, None], 6)
+    net.fit(x, y, r.random((500, 6)) > 0.2, steps=1, batch=64)
+    assert set(np.concatenate(seen).tolist()) == set(range(500))
