@@ -43,7 +43,7 @@ from .wordcache import Slots, WordIds
 HEAD = 1 << 19
 #: A hash that stands for the end of a text among words.
 END_WORD = -1
-COUNT_BUFFER = 1 << 19
+COUNT_BUFFER = 1 << 20
 #: As ids are written out; the tokenizer has fewer than 2**16.
 ID = np.dtype("<u2")
 #: Output groups, ids that are symbols of their own, and input ids told apart.
@@ -81,17 +81,36 @@ def products(a: np.ndarray, b: np.ndarray, rows: int = 384) -> np.ndarray:
     return out
 
 
+def times(a: np.ndarray, b: np.ndarray, rows: int = 192) -> np.ndarray:
+    """a @ b of a long narrow array and a small one, in blocks of rows, which BLAS does faster."""
+    n = len(a) // rows * rows
+    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    np.matmul(a[:n].reshape(-1, rows, a.shape[1]), b, out=out[:n].reshape(-1, rows, b.shape[1]))
+    np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
 class Adam:
+    """The weights, one after the other, have one row of moments."""
+
     def __init__(self, w: dict):
         self.w, self.steps = w, 0
-        self.m, self.v = ({k: np.zeros_like(t) for k, t in w.items()} for _ in range(2))
+        self.m, self.v = (np.zeros(sum(t.size for t in w.values()), np.result_type(*w.values())) for _ in range(2))
 
     def step(self, g: dict, rate: float) -> None:
         self.steps += 1
-        for k, t in g.items():
-            self.m[k] += 0.1 * (t - self.m[k])
-            self.v[k] += 0.02 * (t * t - self.v[k])
-            self.w[k] -= np.float32(rate / (1 - 0.9**self.steps)) * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.98**self.steps)) + np.float32(1e-7))
+        t = np.concatenate([g[k].ravel() for k in self.w])
+        self.m += 0.1 * (t - self.m)
+        self.v += 0.02 * (t * t - self.v)
+        np.multiply(self.v, np.float32(1 / (1 - 0.98**self.steps)), out=t)
+        np.sqrt(t, out=t)
+        t += np.float32(1e-7)
+        np.divide(self.m, t, out=t)
+        t *= np.float32(rate / (1 - 0.9**self.steps))
+        at = 0
+        for w in self.w.values():
+            w -= t[at : at + w.size].reshape(w.shape)
+            at += w.size
 
 
 class AttentionLM:
@@ -128,6 +147,7 @@ class AttentionLM:
         self.w = {"emb": make(self.start + 1, dim), "pos": make(window, dim) * 0.3, "q": make(dim, dim), "k": make(dim, dim), "v": make(dim, dim), "o": make(dim, dim) * 0.5, "out": make(dim, groups) * 0.3, "bias": np.zeros(groups, np.float32)}
         self.last = np.log(prior).astype(np.float32)
         self.show = np.tril(np.ones((window, window), np.float32))
+        self.cells = np.arange(self.w["emb"].size).reshape(self.w["emb"].shape)
         self.scale = np.float32(dim**-0.5)
 
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -136,69 +156,73 @@ class AttentionLM:
         qkv = np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1)
         return w["emb"] @ qkv, w["pos"] @ qkv, self.last + w["bias"] + w["emb"] @ w["out"], w["pos"] @ w["out"], w["o"] @ w["out"]
 
-    def logits(self, x: np.ndarray, seen: int, keep: list | None = None, tables: tuple | None = None) -> np.ndarray:
-        """For windows of inputs x, the class logits at the positions from `seen` on."""
-        w, d = self.w, self.dim
-        b, t = x.shape
-        # Slices of one array stand for queries, keys and values.
-        if tables:
-            qkv = tables[0].take(x, axis=0)
-            qkv += tables[1]
-        else:
-            h = w["emb"].take(x, axis=0)
-            h += w["pos"]
-            qkv = (h.reshape(-1, d) @ np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1)).reshape(b, t, 3 * d)
+    def attended(self, qkv: np.ndarray, seen: int) -> tuple[np.ndarray, ...]:
+        """Queries, keys and values as slices of qkv, the weights of what precedes each position from `seen` on, and the values they gather."""
+        d, (b, t, _) = self.dim, qkv.shape
         q, k, v = qkv[:, seen:, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -MOST_LOGIT, MOST_LOGIT, out=a)
         np.exp(a, out=a)
         a *= self.show[seen:]
         a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(b, t - seen, 1)
-        m = a @ v
-        if tables:
-            z = (m.reshape(-1, d) @ tables[4]).reshape(b, t - seen, -1)
-            z += tables[3][seen:]
-            z += tables[2].take(x[:, seen:], axis=0)
-            return np.clip(z, -MOST_LOGIT, MOST_LOGIT, out=z)
-        r = np.ones((b, t - seen, d + 1), h.dtype)
-        np.add(h[:, seen:], (m.reshape(-1, d) @ w["o"]).reshape(m.shape), out=r[:, :, :d])
-        if keep is not None:
-            keep += [h, q, k, v, a, m, r]
-        z = (r.reshape(-1, d + 1) @ np.concatenate([w["out"], w["bias"][None]])).reshape(b, t - seen, -1)
-        z += self.last.take(x[:, seen:], axis=0)
+        return q, k, v, a, a @ v
+
+    def logits(self, x: np.ndarray, seen: int, tables: tuple | None = None) -> np.ndarray:
+        """For windows of inputs x, the class logits at the positions from `seen` on."""
+        inputs, places, last, place, out = tables or self.tables()
+        qkv = inputs.take(x, axis=0)
+        qkv += places
+        m = self.attended(qkv, seen)[4]
+        z = times(m.reshape(-1, self.dim), out).reshape(len(x), x.shape[1] - seen, -1)
+        z += place[seen:]
+        z += last.take(x[:, seen:], axis=0)
         return np.clip(z, -MOST_LOGIT, MOST_LOGIT, out=z)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the masked positions and its gradient."""
-        w, d, kept = self.w, self.dim, []
-        p = self.logits(x, 0, kept)
-        h, q, k, v, a, m, r = kept
+    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rows: int = 1152) -> tuple[float, dict]:
+        """Mean loss over the masked positions and its gradient; logits are there for `rows` positions at a time, as many as a processor's cache holds."""
+        w, d = self.w, self.dim
         flat = lambda t: t.reshape(-1, t.shape[2])
-        share = (mask / max(1, mask.sum())).astype(p.dtype)
-        told = np.arange(y.size) * p.shape[2] + y.ravel()
-        own = p.ravel()[told]
-        total = (flat(np.exp(p, out=p)) @ np.ones(p.shape[2], p.dtype)).reshape(y.shape)
-        loss = float(((np.log(total) - own.reshape(y.shape)) * share).sum())
-        p *= (share / total)[:, :, None]
-        p.ravel()[told] -= share.ravel()
-        dz = flat(p)
-        out = products(flat(r), dz)
-        g = {"out": out[:-1], "bias": out[-1]}
-        dr = dz @ w["out"].T
+        h = w["emb"].take(x, axis=0)
+        h += w["pos"]
+        to_qkv = np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1)
+        qkv = times(flat(h), to_qkv).reshape(*x.shape, 3 * d)
+        q, k, v, a, m = self.attended(qkv, 0)
+        r = times(flat(m), w["o"])
+        r += flat(h)
+        kind, groups = r.dtype, w["out"].shape[1]
+        share = (mask.ravel() / max(1, mask.sum())).astype(kind)
+        last, back, one = self.last + w["bias"], np.ascontiguousarray(w["out"].T), np.ones(max(groups, rows), kind)
+        x, y, n = x.ravel(), y.ravel(), x.size
+        g = {"out": np.zeros_like(w["out"]), "bias": np.zeros_like(w["bias"])}
+        total, own, dr, of_last = np.empty(n, kind), np.empty(n, kind), np.empty_like(r), np.empty((min(n, rows), groups), last.dtype)
+        for at in range(0, n, rows):
+            some = slice(at, min(n, at + rows))
+            p = times(r[some], w["out"])
+            p += last.take(x[some], axis=0, out=of_last[: len(p)], mode="clip")
+            np.clip(p, -MOST_LOGIT, MOST_LOGIT, out=p)
+            told = np.arange(0, p.size, groups) + y[some]
+            own[some] = p.ravel().take(told)
+            total[some] = np.exp(p, out=p) @ one[:groups]
+            p *= (share[some] / total[some])[:, None]
+            p.ravel()[told] -= share[some]
+            g["out"] += products(r[some], p)
+            g["bias"] += one[: len(p)] @ p
+            dr[some] = times(p, back)
+        loss = float(((np.log(total) - own) * share).sum())
         g["o"] = products(flat(m), dr)
-        dm = (dr @ w["o"].T).reshape(m.shape)
+        dm = times(dr, np.ascontiguousarray(w["o"].T)).reshape(m.shape)
         ds = dm @ v.transpose(0, 2, 1)
         ds -= np.einsum("btd,btd->bt", dm, m)[:, :, None]
         ds *= a
-        dqkv = np.empty((*x.shape, 3 * d), h.dtype)
-        dqkv[:, :, :d] = ds @ k
-        dqkv[:, :, d : 2 * d] = ds.transpose(0, 2, 1) @ q
-        dqkv[:, :, 2 * d :] = a.transpose(0, 2, 1) @ dm
+        dqkv = np.empty_like(qkv)
+        np.matmul(ds, k, out=dqkv[:, :, :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dm, out=dqkv[:, :, 2 * d :])
         g["q"], g["k"], g["v"] = np.split(products(flat(h), flat(dqkv)), 3, axis=1)
         g["q"] = g["q"] * self.scale
-        dh = dr + flat(dqkv) @ np.concatenate([w["q"] * self.scale, w["k"], w["v"]], axis=1).T
-        g["pos"] = dh.reshape(h.shape).sum(axis=0)
-        g["emb"] = np.bincount((x.reshape(-1, 1) * d + np.arange(d)).ravel(), dh.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(h.dtype)
+        dr += times(flat(dqkv), np.ascontiguousarray(to_qkv.T))
+        g["pos"] = dr.reshape(h.shape).sum(axis=0)
+        g["emb"] = np.bincount(self.cells.take(x, axis=0).ravel(), dr.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(kind)
         return loss, g
 
     def inputs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -252,7 +276,8 @@ class AttentionLM:
                 own = z.ravel()[np.arange(at.size) * z.shape[2] + y[at].ravel()].reshape(at.shape)
                 own -= np.log(np.exp(z, out=z).reshape(-1, z.shape[2]) @ np.ones(z.shape[2], z.dtype)).reshape(at.shape)
                 each[at[live]] = own[live]
-        each += self.share[x, self.symbol[ids]] + self.within[ids]
+        each += self.share.ravel().take(x * self.share.shape[1] + self.symbol.take(ids))
+        each += self.within.take(ids)
         total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
         return (total[first[1:]] - total[first[:-1]]) / np.log(10)
 
@@ -294,6 +319,46 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class KeptIds(WordIds):
+    """Word ids that outlive a text's task: where too many words are held, those met again since the last time stay (half of `most` at most), the others make room."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.again = np.zeros(1024, bool)
+
+    def thin(self) -> None:
+        known, n = self.known, self.known.n
+        kept = np.flatnonzero(self.again[:n])[: self.most // 2]
+        h, taken = np.empty(n, U), known.row >= 0
+        h[known.row[taken]] = known.keys[taken]
+        size = self.length[kept]
+        first = np.cumsum(size) - size
+        flat = self.flat[np.repeat(self.start[kept] - first, size) + np.arange(size.sum())]
+        self.clear()
+        self.known.enter(h[kept])
+        self.start, self.length, self.flat, self.used = first, size, flat, len(flat)
+
+    def rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.known.n > self.most:
+            self.thin()
+        n = self.known.n
+        row = super().rows(buf, starts, ends)
+        if self.known.n > len(self.again):
+            self.again = np.concatenate([self.again, np.zeros(self.known.n, bool)])
+        self.again[row[row < n]] = True
+        return row
+
+
+#: The words that this worker holds, by tokenizer.
+HELD: dict[str, KeptIds] = {}
+
+
+def words_held(tokenizer: str) -> KeptIds:
+    if tokenizer not in HELD:
+        HELD[tokenizer] = KeptIds(tokenizer, 1 << 18)
+    return HELD[tokenizer]
+
+
 def read_ids(docs: DataFrame, tokenizer: str, end_id: int, keys: np.ndarray, known: np.ndarray) -> DataFrame:
     """Each text read once: its subword ids, and what is needed for the base score.
 
@@ -304,7 +369,7 @@ def read_ids(docs: DataFrame, tokenizer: str, end_id: int, keys: np.ndarray, kno
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, known = held.value
-        words, rid = WordIds(tokenizer, 1 << 18), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        words, rid = words_held(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         frequent, logs = Slots(), np.append(np.log10(known + 0.1), 0.0)
         frequent.enter(keys)
         end_at = int(frequent.find(np.array([END_WORD]).view(U))[0])

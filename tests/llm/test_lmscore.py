@@ -171,3 +171,35 @@ def test_few_windows_are_all_gone_through():
     y = np.tile(np.arange(500)[:, None], 6)
     net.fit(x, y, r.random((500, 6)) > 0.2, steps=1, batch=64)
     assert set(np.concatenate(seen).tolist()) == set(range(500))
+
+
+def test_gradient_is_the_same_by_blocks():
+    """Logits are made for some positions at a time; blocks that part a window or leave a rest change nothing."""
+    net, r = small(), np.random.default_rng(7)
+    net.w = {k: x.astype(np.float64) for k, x in net.w.items()}
+    x, y, mask = r.integers(0, net.start + 1, (9, 6)), r.integers(0, net.classes, (9, 6)), r.random((9, 6)) > 0.2
+    loss, want = net.gradient(x, y, mask)
+    for rows in (1, 7, 54):
+        got = net.gradient(x, y, mask, rows)
+        assert got[0] == pytest.approx(loss, rel=1e-9) and all(np.allclose(got[1][k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+    a, b = r.standard_normal((403, 5)), r.standard_normal((5, 3))
+    assert all(np.allclose(lmscore.times(a[:n], b), a[:n] @ b) for n in (0, 1, 191, 192, 403))
+
+
+def test_words_met_again_are_kept():
+    """A worker's words outlive tasks and thinning: ids stay right, and a word met again and again is cut once."""
+    from rulespark.llm.wordcache import WordIds
+
+    names = np.array([f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnrs"] + ["né.", "x-1", "red,"])
+    kept, r, cut, most_held = lmscore.KeptIds(PATH, 40), np.random.default_rng(3), Counter(), 0
+    make = kept.encode
+    kept.encode = lambda words: cut.update(words) or make(words)
+    for _ in range(60):
+        text = f"always there {' '.join(r.choice(names, 12))}".encode()
+        buf, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        got, want = kept.ids(buf, offs), WordIds(PATH).ids(buf, offs)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        most_held = max(most_held, kept.known.n)
+    assert cut["always"] == cut["there"] == 1 and most_held <= 40 + 14 + 3
+    assert sum(cut.values()) > len(cut)
+    assert lmscore.words_held(PATH) is lmscore.words_held(PATH)
