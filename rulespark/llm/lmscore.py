@@ -28,6 +28,7 @@ texts.  Repeated rows get equal scores.  Empty table: no rows.
 from __future__ import annotations
 
 import copy
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -282,6 +283,16 @@ class AttentionLM:
         return (total[first[1:]] - total[first[:-1]]) / np.log(10)
 
 
+def keep_freed_memory() -> None:
+    """Lets this process hold up to 32 MB that arrays have freed, where glibc would return it and fault every page in again for the next arrays; elsewhere nothing."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, TypeError, AttributeError):
+        return
+    for what, size in ((-3, 16 << 20), (-1, 32 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        mallopt(what, size)
+
+
 def with_end(flat: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(first) - 1
     return np.insert(flat, first[1:], end_id).astype(np.int64), first + np.arange(n + 1)
@@ -368,6 +379,7 @@ def read_ids(docs: DataFrame, tokenizer: str, end_id: int, keys: np.ndarray, kno
     held = docs.sparkSession.sparkContext.broadcast((keys, known))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         keys, known = held.value
         words, rid = words_held(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         frequent, logs = Slots(), np.append(np.log10(known + 0.1), 0.0)
@@ -496,6 +508,7 @@ def learn_all(read: DataFrame, model: AttentionLM, parts: int = 8) -> None:
     held, names = read.sparkSession.sparkContext.broadcast(model), sorted(model.w)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         net = copy.copy(held.value)
         net.w = {k: t.copy() for k, t in net.w.items()}
         n = net.go_on((ids, first) for _, ids, first in id_batches(rows))
@@ -549,6 +562,7 @@ def score(docs: DataFrame, tokenizer: str, held_out: str, id_col: str = "doc_id"
     held = spark.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for part, ids, first in id_batches(rows):
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(held.value.score(ids, first))], names=[*part.schema.names[1:], "score"])
 
